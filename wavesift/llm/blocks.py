@@ -54,12 +54,13 @@ class Model:
         free = (1 << TOTAL_BITS) - self.ids
         total = int(self.seen.sum())
         self.freq = 1 + (self.seen * free // total if total else np.zeros(self.ids, np.int64))
-        self.cum = np.concatenate([[0], self.freq.cumsum()])
+        self.cum = np.concatenate([[0], self.freq.cumsum()]).astype(np.int32)
 
     def predict(self) -> None:
         self.slot = ((self.c2 * 50_287 + self.c1) * 2_654_435_761 & 0xFFFFFFFF) >> (32 - TABLE_BITS)
         self.p2, self.p1 = self.second[self.slot], self.first[self.c1]
-        self.cell = self.sure2[self.slot] * CONFIDENCE + self.sure1[self.c1]
+        self.s2, self.s1 = self.sure2[self.slot], self.sure1[self.c1]
+        self.cell = self.s2 * np.uint8(CONFIDENCE) + self.s1
         share = self.right / self.right.sum(axis=0)
         width = (share * (UNIT - 3)).astype(np.int64) + 1
         width[2] = UNIT - width[0] - width[1]
@@ -69,19 +70,22 @@ class Model:
         """0: order 2 is right; 1: order 1 is; 2: neither."""
         return np.where(s == self.p2, 0, np.where(s == self.p1, 1, 2))
 
-    def update(self, s: np.ndarray, kind: np.ndarray) -> None:
-        for n in range(3):
-            self.right[n] += np.bincount(self.cell[kind == n], minlength=self.right.shape[1])
-        ok2, ok1 = s == self.p2, s == self.p1
-        sure = self.sure2[self.slot]
-        self.second[self.slot] = np.where(ok2 | (sure > 0), self.p2, s)
-        self.sure2[self.slot] = np.where(ok2, np.minimum(sure + 1, CONFIDENCE - 1), sure >> 1)
-        sure = self.sure1[self.c1]
-        self.first[self.c1] = np.where(ok1 | (sure > 0), self.p1, s)
-        self.sure1[self.c1] = np.where(ok1, np.minimum(sure + 1, CONFIDENCE - 1), sure >> 1)
-        self.seen += np.bincount(s[kind == 2], minlength=self.ids) if len(s) > self.ids else 0
-        if len(s) <= self.ids:
-            np.add.at(self.seen, s[kind == 2], 1)
+    def spans(self, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width of each lane's class, out of UNIT."""
+        both = self.f2 + self.f1
+        start = np.where(kind == 0, 0, np.where(kind == 1, self.f2, both))
+        return start, np.where(kind == 0, self.f2, np.where(kind == 1, self.f1, UNIT - both))
+
+    def update(self, s: np.ndarray, kind: np.ndarray, missed: np.ndarray) -> None:
+        self.right += np.bincount(kind * self.right.shape[1] + self.cell, minlength=self.right.size).reshape(self.right.shape)
+        most = CONFIDENCE - 1
+        ok = s == self.p2
+        self.second[self.slot] = np.where(self.s2 > 0, self.p2, s)
+        self.sure2[self.slot] = np.where(ok, np.minimum(self.s2 + np.uint8(1), most), self.s2 >> 1)
+        ok = s == self.p1
+        self.first[self.c1] = np.where(self.s1 > 0, self.p1, s)
+        self.sure1[self.c1] = np.where(ok, np.minimum(self.s1 + np.uint8(1), most), self.s1 >> 1)
+        np.add.at(self.seen, s[missed], 1)
         self.c2, self.c1 = self.c1, s
         self.steps += 1
         if self.steps % RENEW == 0:
@@ -96,16 +100,16 @@ class Writer:
         self.lane: list[np.ndarray] = []
         self.word: list[np.ndarray] = []
 
-    def put(self, at: np.ndarray, start: np.ndarray, size: np.ndarray, bits: int) -> None:
-        low, span = self.low[at], self.range[at] >> _u(bits)
-        low = low + span * start.astype(_u)
+    def put(self, at: np.ndarray | slice, start: np.ndarray, size: np.ndarray, bits: int) -> None:
+        span = self.range[at] >> _u(bits)
+        low = self.low[at] + span * start.astype(_u)
         span = span * size.astype(_u)
         open_ = _unsettled(low, span)
         while len(open_):
             own, width = low[open_], span[open_]
             narrow = (own ^ (own + width)) >= _TOP
             width = np.where(narrow, (_u(0) - own) & _LEAST, width)
-            self.lane.append(at[open_].astype(np.uint16))
+            self.lane.append((open_ if isinstance(at, slice) else at[open_]).astype(np.uint16))
             self.word.append((own >> _u(48)).astype("<u2"))
             low[open_], span[open_] = own << _u(16), width << _u(16)
             open_ = open_[_unsettled(low[open_], span[open_])]
@@ -145,6 +149,7 @@ class Reader:
     def take(self, at: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
         low = self.low[at] + self.span * start.astype(_u)
         span, code, place = self.span * size.astype(_u), self.code[at], self.at[at]
+        code, place = (code.copy(), place.copy()) if isinstance(at, slice) else (code, place)
         open_ = _unsettled(low, span)
         while len(open_):
             own, width = low[open_], span[open_]
@@ -161,10 +166,6 @@ def _lanes(n: int) -> int:
     return max(1, min(LANES, n // 64))
 
 
-def _ready(low: int, n: int, lanes: int) -> np.ndarray:
-    return np.arange(lanes) if n >= lanes else np.arange(n)
-
-
 def compress(ids: np.ndarray, vocabulary: int) -> bytes:
     """ids as a checksummed block body that decompress() turns back."""
     n, lanes = len(ids), _lanes(len(ids))
@@ -174,18 +175,16 @@ def compress(ids: np.ndarray, vocabulary: int) -> bytes:
     grid = np.zeros(lanes * steps, np.int64)
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)  # a row for each step
-    model, out, every = Model(vocabulary, lanes), Writer(lanes), np.arange(lanes)
+    model, out, every = Model(vocabulary, lanes), Writer(lanes), slice(None)
     for s in grid:
         model.predict()
         kind = model.classes(s)
-        start = np.where(kind == 0, 0, np.where(kind == 1, model.f2, model.f2 + model.f1))
-        size = np.where(kind == 0, model.f2, np.where(kind == 1, model.f1, UNIT - model.f2 - model.f1))
-        out.put(every, start, size, 16)
+        out.put(every, *model.spans(kind), 16)
         missed = np.flatnonzero(kind == 2)
         if len(missed):
             own = s[missed]
             out.put(missed, model.cum[own], model.freq[own], TOTAL_BITS)
-        model.update(s, kind)
+        model.update(s, kind, missed)
     counts, words = out.finish()
     return counts.astype("<u4").tobytes() + words.tobytes()
 
@@ -196,24 +195,22 @@ def decompress(body: bytes, n: int, vocabulary: int) -> np.ndarray:
         return np.zeros(0, "<u4")
     counts = np.frombuffer(body, "<u4", lanes).astype(np.int64)
     steps = -(-n // lanes)
-    model, read, every = Model(vocabulary, lanes), Reader(counts, np.frombuffer(body, "<u2", -1, 4 * lanes)), np.arange(lanes)
+    model, read, every = Model(vocabulary, lanes), Reader(counts, np.frombuffer(body, "<u2", -1, 4 * lanes)), slice(None)
     grid = np.zeros((steps, lanes), np.int64)
     for step in range(steps):
         model.predict()
         v = read.look(every, 16)
         kind = np.where(v < model.f2, 0, np.where(v < model.f2 + model.f1, 1, 2))
-        start = np.where(kind == 0, 0, np.where(kind == 1, model.f2, model.f2 + model.f1))
-        size = np.where(kind == 0, model.f2, np.where(kind == 1, model.f1, UNIT - model.f2 - model.f1))
-        read.take(every, start, size)
+        read.take(every, *model.spans(kind))
         s = np.where(kind == 0, model.p2, model.p1).astype(np.int64)
         missed = np.flatnonzero(kind == 2)
         if len(missed):
-            v = read.look(missed, TOTAL_BITS)
+            v = read.look(missed, TOTAL_BITS).astype(np.int32)
             own = np.searchsorted(model.cum, v, "right") - 1
             own = np.minimum(own, vocabulary - 1)
             read.take(missed, model.cum[own], model.freq[own])
             s[missed] = own
-        model.update(s, kind)
+        model.update(s, kind, missed)
         grid[step] = s
     return np.ascontiguousarray(grid.T).reshape(-1)[:n].astype("<u4")
 
