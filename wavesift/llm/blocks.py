@@ -24,7 +24,7 @@ from wavesift.llm.shared import documents, prepared, settle
 TOKENIZER, END = "byte_bpe_50k.json", 0
 MAGIC, VERSION = b"CMRC", 1
 #: Ids after which a block ends with its document, and lanes of a full block.
-BLOCK_IDS, LANES = 1 << 20, 4_096
+BLOCK_IDS, LANES = 1 << 21, 8_192
 #: Bits of the order-2 table, of a probability, and of the order-0 frequencies' sum; steps between their renewals.
 TABLE_BITS, UNIT, TOTAL_BITS, RENEW = 20, 1 << 16, 24, 8
 CONFIDENCE = 4
@@ -73,8 +73,10 @@ class Model:
     def spans(self, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and width of each lane's class, out of UNIT."""
         both = self.f2 + self.f1
-        start = np.where(kind == 0, 0, np.where(kind == 1, self.f2, both))
-        return start, np.where(kind == 0, self.f2, np.where(kind == 1, self.f1, UNIT - both))
+        ends = np.stack([np.zeros_like(both), self.f2, both, np.full_like(both, UNIT)])
+        lanes = np.arange(len(kind))
+        start = ends[kind, lanes]
+        return start, ends[kind + 1, lanes] - start
 
     def update(self, s: np.ndarray, kind: np.ndarray, missed: np.ndarray) -> None:
         self.right += np.bincount(kind * self.right.shape[1] + self.cell, minlength=self.right.size).reshape(self.right.shape)
@@ -104,15 +106,14 @@ class Writer:
         span = self.range[at] >> _u(bits)
         low = self.low[at] + span * start.astype(_u)
         span = span * size.astype(_u)
-        open_ = _unsettled(low, span)
+        open_ = np.flatnonzero(span <= _LEAST)
         while len(open_):
-            own, width = low[open_], span[open_]
-            narrow = (own ^ (own + width)) >= _TOP
-            width = np.where(narrow, (_u(0) - own) & _LEAST, width)
+            own, width = _settled(low[open_], span[open_])
             self.lane.append((open_ if isinstance(at, slice) else at[open_]).astype(np.uint16))
             self.word.append((own >> _u(48)).astype("<u2"))
-            low[open_], span[open_] = own << _u(16), width << _u(16)
-            open_ = open_[_unsettled(low[open_], span[open_])]
+            width <<= _u(16)
+            low[open_], span[open_] = own << _u(16), width
+            open_ = open_[width <= _LEAST]
         self.low[at], self.range[at] = low, span
 
     def finish(self) -> tuple[np.ndarray, np.ndarray]:
@@ -128,8 +129,10 @@ class Writer:
 _TOP, _LEAST = _u(1 << 48), _u((1 << 32) - 1)
 
 
-def _unsettled(low: np.ndarray, span: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(((low ^ (low + span)) < _TOP) | (span <= _LEAST))
+def _settled(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """low and span, the latter cut where the upper word could still change, so that the word can go out."""
+    open_ = (low ^ (low + span)) >= _TOP
+    return low, np.where(open_, (_u(0) - low) & _LEAST, span) if open_.any() else span
 
 
 class Reader:
@@ -150,15 +153,14 @@ class Reader:
         low = self.low[at] + self.span * start.astype(_u)
         span, code, place = self.span * size.astype(_u), self.code[at], self.at[at]
         code, place = (code.copy(), place.copy()) if isinstance(at, slice) else (code, place)
-        open_ = _unsettled(low, span)
+        open_ = np.flatnonzero(span <= _LEAST)
         while len(open_):
-            own, width = low[open_], span[open_]
-            narrow = (own ^ (own + width)) >= _TOP
-            width = np.where(narrow, (_u(0) - own) & _LEAST, width)
+            own, width = _settled(low[open_], span[open_])
             code[open_] = (code[open_] << _u(16)) | self.words[np.minimum(place[open_], len(self.words) - 1)]
             place[open_] += 1
-            low[open_], span[open_] = own << _u(16), width << _u(16)
-            open_ = open_[_unsettled(low[open_], span[open_])]
+            width <<= _u(16)
+            low[open_], span[open_] = own << _u(16), width
+            open_ = open_[width <= _LEAST]
         self.low[at], self.range[at], self.code[at], self.at[at] = low, span, code, place
 
 
