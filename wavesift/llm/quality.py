@@ -62,10 +62,11 @@ def _rejects(rule: str, cut: int) -> Column:
 def _tail(k: str, n: str, limit: float) -> Column:
     """Logarithm of the binomial probability of at most k successes of n at the given rate, summed term by term.
     Where k reaches n * limit no cutoff can pass, and the result is 0."""
-    term = f"(ln(({n} - j + 1) / double(j)) + ln({limit} / (1 - {limit})))"
-    return F.expr(f"""case when {k} >= {n} * {limit} then 0D else aggregate(
+    rate_ = f"{float(limit)!r}D"  # a double: decimal division would round
+    term = f"(ln(({n} - j + 1) / double(j)) + ln({rate_} / (1 - {rate_})))"
+    return F.expr(f"""case when {k} >= {n} * {rate_} then 0D else aggregate(
       case when {k} > 0 then sequence(1L, {k}) else cast(array() as array<bigint>) end,
-      named_struct('t', {n} * ln(1 - {limit}), 's', {n} * ln(1 - {limit})),
+      named_struct('t', {n} * ln(1 - {rate_}), 's', {n} * ln(1 - {rate_})),
       (a, j) -> named_struct('t', a.t + {term}, 's', greatest(a.s, a.t + {term}) + ln(1 + exp(-abs(a.s - a.t - {term})))),
       a -> a.s) end""")
 
