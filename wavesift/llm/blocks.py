@@ -33,19 +33,19 @@ _u = np.uint64
 
 
 class Model:
-    """What encoder and decoder know alike before each step."""
+    """What encoder and decoder know alike before each step.
+
+    A context's cell holds the id it predicts, above two bits that count how sure it is.
+    """
 
     def __init__(self, ids: int, lanes: int):
         self.ids = ids
         self.second = np.zeros(1 << TABLE_BITS, np.int32)
         self.first = np.zeros(ids, np.int32)
-        self.sure2 = np.zeros(1 << TABLE_BITS, np.uint8)
-        self.sure1 = np.zeros(ids, np.uint8)
-        cells = CONFIDENCE * CONFIDENCE
-        self.right = np.full((3, cells), 1.0) / np.array([[3.0], [3.0], [1.5]])
+        self.right = np.full((CONFIDENCE * CONFIDENCE, 3), 1.0) / np.array([3.0, 3.0, 1.5])
         self.seen = np.zeros(ids, np.int64)
-        self.c1 = np.zeros(lanes, np.int64)
-        self.c2 = np.zeros(lanes, np.int64)
+        self.c1 = np.zeros(lanes, np.int32)
+        self.c2 = np.zeros(lanes, np.int32)
         self.steps = 0
         self.renew()
 
@@ -53,46 +53,56 @@ class Model:
         """Order-0 frequencies, at least 1 each, that sum to at most 2 ** TOTAL_BITS."""
         free = (1 << TOTAL_BITS) - self.ids
         total = int(self.seen.sum())
-        self.freq = 1 + (self.seen * free // total if total else np.zeros(self.ids, np.int64))
-        self.cum = np.concatenate([[0], self.freq.cumsum()]).astype(np.int32)
+        freq = 1 + (self.seen * free // total if total else np.zeros(self.ids, np.int64))
+        self.cum = np.concatenate([[0], freq.cumsum()]).astype(np.int32)
+        self.freq = freq.astype(np.int32)
 
     def predict(self) -> None:
-        self.slot = ((self.c2 * 50_287 + self.c1) * 2_654_435_761 & 0xFFFFFFFF) >> (32 - TABLE_BITS)
-        self.p2, self.p1 = self.second[self.slot], self.first[self.c1]
-        self.s2, self.s1 = self.sure2[self.slot], self.sure1[self.c1]
-        self.cell = self.s2 * np.uint8(CONFIDENCE) + self.s1
-        share = self.right / self.right.sum(axis=0)
-        width = (share * (UNIT - 3)).astype(np.int64) + 1
-        width[2] = UNIT - width[0] - width[1]
-        self.f2, self.f1 = width[0][self.cell], width[1][self.cell]
+        """The cells of both contexts, and the bounds of the classes (0: order 2 is right; 1: order 1 is; 2: neither)."""
+        mixed = (self.c2.view(np.uint32) * np.uint32(50_287) + self.c1.view(np.uint32)) * np.uint32(2_654_435_761)
+        self.slot = (mixed >> np.uint32(32 - TABLE_BITS)).astype(np.intp)
+        self.e2, self.e1 = self.second[self.slot], self.first[self.c1]
+        self.p2, self.p1 = self.e2 >> 2, self.e1 >> 2
+        self.s2, self.s1 = self.e2 & (CONFIDENCE - 1), self.e1 & (CONFIDENCE - 1)
+        self.cell = (self.s2 << 2) + self.s1
+        share = self.right[:, :2] / self.right.sum(axis=1, keepdims=True)
+        self.ends = np.zeros((CONFIDENCE * CONFIDENCE, 4), np.int64)
+        self.ends[:, 1:3] = ((share * (UNIT - 3)).astype(np.int64) + 1).cumsum(axis=1)
+        self.ends[:, 3] = UNIT
 
     def classes(self, s: np.ndarray) -> np.ndarray:
-        """0: order 2 is right; 1: order 1 is; 2: neither."""
-        return np.where(s == self.p2, 0, np.where(s == self.p1, 1, 2))
+        not2, not1 = (s != self.p2).view(np.uint8), (s != self.p1).view(np.uint8)
+        return not2 + (not2 & not1)
 
     def spans(self, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and width of each lane's class, out of UNIT."""
-        both = self.f2 + self.f1
-        ends = np.stack([np.zeros_like(both), self.f2, both, np.full_like(both, UNIT)])
-        lanes = np.arange(len(kind))
-        start = ends[kind, lanes]
-        return start, ends[kind + 1, lanes] - start
-
-    def update(self, s: np.ndarray, kind: np.ndarray, missed: np.ndarray) -> None:
-        self.right += np.bincount(kind * self.right.shape[1] + self.cell, minlength=self.right.size).reshape(self.right.shape)
-        most = CONFIDENCE - 1
-        ok = s == self.p2
-        self.second[self.slot] = np.where(self.s2 > 0, self.p2, s)
-        self.sure2[self.slot] = np.where(ok, np.minimum(self.s2 + np.uint8(1), most), self.s2 >> 1)
-        ok = s == self.p1
-        self.first[self.c1] = np.where(self.s1 > 0, self.p1, s)
-        self.sure1[self.c1] = np.where(ok, np.minimum(self.s1 + np.uint8(1), most), self.s1 >> 1)
+        self.pair = self.cell * 3 + kind
+        ends = self.ends.astype(_u)
+        return ends[:, :3].ravel()[self.pair], (ends[:, 1:] - ends[:, :3]).ravel()[self.pair]
+
+    @staticmethod
+    def _learned(cell: np.ndarray, sure: np.ndarray, right: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """Surer by one where it was right, half as sure where it was not, another id where it was not sure at all."""
+        more = cell + (sure < CONFIDENCE - 1)
+        return np.where(right, more, np.where(sure > 0, cell - ((sure + 1) >> 1), s << 2))
+
+    def update(self, s: np.ndarray, missed: np.ndarray) -> None:
+        self.right += np.bincount(self.pair, minlength=self.right.size).reshape(self.right.shape)
+        self.second[self.slot] = self._learned(self.e2, self.s2, s == self.p2, s)
+        self.first[self.c1] = self._learned(self.e1, self.s1, s == self.p1, s)
         np.add.at(self.seen, s[missed], 1)
         self.c2, self.c1 = self.c1, s
         self.steps += 1
         if self.steps % RENEW == 0:
             self.renew()
 
+    def ids_at(self, v: np.ndarray) -> np.ndarray:
+        """The ids whose order-0 spans hold the values v. They are looked up in order, which keeps to the cache."""
+        sorted_ = np.sort(v << 32 | np.arange(len(v)))
+        found = np.empty(len(v), np.int32)
+        found[sorted_ & 0xFFFFFFFF] = np.searchsorted(self.cum, (sorted_ >> 32).astype(np.int32), "right") - 1
+        return np.minimum(found, self.ids - 1)
+
 
 class Writer:
     """Carryless range coders, one for each lane, with 64-bit state and 16-bit words."""
@@ -104,8 +114,8 @@ class Writer:
 
     def put(self, at: np.ndarray | slice, start: np.ndarray, size: np.ndarray, bits: int) -> None:
         span = self.range[at] >> _u(bits)
-        low = self.low[at] + span * start.astype(_u)
-        span = span * size.astype(_u)
+        low = self.low[at] + span * start.astype(_u, copy=False)
+        span *= size.astype(_u, copy=False)
         open_ = np.flatnonzero(span <= _LEAST)
         while len(open_):
             own, width = _settled(low[open_], span[open_])
@@ -150,9 +160,8 @@ class Reader:
         return np.minimum((self.code[at] - self.low[at]) // self.span, _u((1 << bits) - 1)).astype(np.int64)
 
     def take(self, at: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        low = self.low[at] + self.span * start.astype(_u)
-        span, code, place = self.span * size.astype(_u), self.code[at], self.at[at]
-        code, place = (code.copy(), place.copy()) if isinstance(at, slice) else (code, place)
+        low = self.low[at] + self.span * start.astype(_u, copy=False)
+        span, code, place = self.span * size.astype(_u, copy=False), self.code[at], self.at[at]
         open_ = np.flatnonzero(span <= _LEAST)
         while len(open_):
             own, width = _settled(low[open_], span[open_])
@@ -174,7 +183,7 @@ def compress(ids: np.ndarray, vocabulary: int) -> bytes:
     if not n:
         return b""
     steps = -(-n // lanes)
-    grid = np.zeros(lanes * steps, np.int64)
+    grid = np.zeros(lanes * steps, np.int32)
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)  # a row for each step
     model, out, every = Model(vocabulary, lanes), Writer(lanes), slice(None)
@@ -186,7 +195,7 @@ def compress(ids: np.ndarray, vocabulary: int) -> bytes:
         if len(missed):
             own = s[missed]
             out.put(missed, model.cum[own], model.freq[own], TOTAL_BITS)
-        model.update(s, kind, missed)
+        model.update(s, missed)
     counts, words = out.finish()
     return counts.astype("<u4").tobytes() + words.tobytes()
 
@@ -198,21 +207,19 @@ def decompress(body: bytes, n: int, vocabulary: int) -> np.ndarray:
     counts = np.frombuffer(body, "<u4", lanes).astype(np.int64)
     steps = -(-n // lanes)
     model, read, every = Model(vocabulary, lanes), Reader(counts, np.frombuffer(body, "<u2", -1, 4 * lanes)), slice(None)
-    grid = np.zeros((steps, lanes), np.int64)
+    grid = np.zeros((steps, lanes), np.int32)
     for step in range(steps):
         model.predict()
         v = read.look(every, 16)
-        kind = np.where(v < model.f2, 0, np.where(v < model.f2 + model.f1, 1, 2))
+        kind = (v >= model.ends[:, 1][model.cell]).view(np.uint8) + (v >= model.ends[:, 2][model.cell])
         read.take(every, *model.spans(kind))
-        s = np.where(kind == 0, model.p2, model.p1).astype(np.int64)
+        s = np.where(kind == 0, model.p2, model.p1)
         missed = np.flatnonzero(kind == 2)
         if len(missed):
-            v = read.look(missed, TOTAL_BITS).astype(np.int32)
-            own = np.searchsorted(model.cum, v, "right") - 1
-            own = np.minimum(own, vocabulary - 1)
+            own = model.ids_at(read.look(missed, TOTAL_BITS))
             read.take(missed, model.cum[own], model.freq[own])
             s[missed] = own
-        model.update(s, kind, missed)
+        model.update(s, missed)
         grid[step] = s
     return np.ascontiguousarray(grid.T).reshape(-1)[:n].astype("<u4")
 
