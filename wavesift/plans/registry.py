@@ -493,3 +493,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {name: sql for name, (_, sql) in _all.items() if sql}
+
+
+from wavesift.plans import prompts_and_media  # noqa: E402, F401  (adds its queries to _all)
