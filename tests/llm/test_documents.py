@@ -14,7 +14,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 from tests.llm.conftest import TEXTS
-from wavesift.llm import blocks, byte_bpe, packing, pii, quality, simhash, token_counts
+from wavesift.llm import blocks, bpe, byte_bpe, packing, pii, quality, simhash, token_counts
 
 LIBRARY = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -202,3 +202,21 @@ def test_byte_bpe(docs, empty):
     assert Counter((r.doc_id, hashlib.md5(str(r.ids).encode()).digest()) for r in coded.collect()) == Counter((t[0], hashlib.md5(str(library.encode_ordinary(t[1] or "")).encode()).digest()) for t in TEXTS)
     assert Counter((r.doc_id, bytes(r.bytes)) for r in byte_bpe.decode(coded).collect()) == Counter((t[0], (t[1] or "").encode()) for t in TEXTS)
     assert byte_bpe.encode(empty).count() == 0
+
+
+def test_short_pieces_are_cut_as_the_pattern_cuts_them():
+    around = ["{}", " {}", "a{}", " a{}.", '{}a"', "'s{}", "{}\n{}", " a{}!)"]
+    for c in [chr(n) for n in (*range(1, 0x400), 0x2028, 0x3042, 0x1F600, 0x1C89, 0x10FFFD)]:
+        for shape in around:
+            piece = shape.format(c, c)
+            assert bpe.short_pre_tokens(piece) == bpe.pre_tokens(piece), repr(piece)
+
+
+def test_order_0_values_find_their_ids():
+    r = np.random.default_rng(3)
+    model = blocks.Model(300, 8)
+    model.seen[:] = r.integers(0, 50, 300)
+    model.renew()
+    v = r.integers(0, int(model.cum[-1]), 5_000)
+    own = model.ids_at(v)
+    assert (model.cum[own] <= v).all() and (v < model.cum[own] + model.freq[own]).all()

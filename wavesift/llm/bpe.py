@@ -77,6 +77,21 @@ def pre_tokens(text: str) -> list[str]:
     return [text[a:b] for _, (a, b) in _older().pre_tokenize_str(text)]
 
 
+_MARKS = frozenset(",.;:!?)\"")
+
+
+def short_pre_tokens(text: str) -> list[str]:
+    """pre_tokens() of a piece of a few words at most. Letters alone, or before one mark, need no pattern: letters
+    below the code points in which tables differ are letters to all of them."""
+    own = text[1:] if text[:1] == " " else text
+    if own.isalpha():
+        if text.isascii() or not _beyond(text):
+            return [text]
+    elif own[-1:] in _MARKS and own[:-1].isalpha() and (text.isascii() or not _beyond(text)):
+        return [text[:-1], text[-1]]
+    return pre_tokens(text)
+
+
 class Memo(dict):
     """make(piece) for each piece, kept for the common ones."""
 

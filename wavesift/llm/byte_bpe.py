@@ -13,6 +13,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -39,13 +40,13 @@ class Chunk:
 
     def __init__(self, texts: list[str | None], buckets: int):
         self.cut = [self._units(t) for t in texts]
-        units = dict.fromkeys(u for own in self.cut for u in own)
-        self.units = {u: bpe.pre_tokens(u) for u in units}
-        words = dict.fromkeys(w for own in self.units.values() for w in own)
-        self.buckets: dict[int, list[bytes]] = {}
-        for w in words:
-            raw = w.encode("utf-8")
-            self.buckets.setdefault(zlib.crc32(raw) % buckets, []).append(raw)
+        self.units = {u: bpe.short_pre_tokens(u) for u in dict.fromkeys(chain.from_iterable(self.cut))}
+        self.buckets: dict[int, list[str]] = {}
+        for w in dict.fromkeys(chain.from_iterable(self.units.values())):
+            self.buckets.setdefault(zlib.crc32(w.encode("utf-8")) % buckets, []).append(w)
+
+    def packed(self) -> list[bytes]:
+        return [_packed([w.encode("utf-8") for w in own]) for own in self.buckets.values()]
 
     @staticmethod
     def _units(text: str | None) -> list[str]:
@@ -95,6 +96,12 @@ def token_bytes(path: str) -> list[bytes]:
     return [coder.decode_single_token_bytes(n) for n in range(coder.n_vocab)]
 
 
+@lru_cache(maxsize=2)
+def token_names(path: str) -> list[bytes]:
+    """The decimal text of each id."""
+    return [str(n).encode() for n in range(len(token_bytes(path)))]
+
+
 def encode_words(path: str):
     """(chunk, bucket, words) to (chunk, bucket, ids); a task encodes each of its distinct words once."""
 
@@ -133,8 +140,9 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", id: str
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, _, texts in _chunks(batches):
-            found = Chunk(texts, buckets).buckets
-            yield pa.record_batch([pa.array([at] * len(found), pa.int64()), pa.array(list(found), pa.int32()), pa.array(list(map(_packed, found.values())), pa.binary())], ["chunk", "bucket", "words"])
+            found = Chunk(texts, buckets)
+            names = list(found.buckets)
+            yield pa.record_batch([pa.array([at] * len(names), pa.int64()), pa.array(names, pa.int32()), pa.array(found.packed(), pa.binary())], ["chunk", "bucket", "words"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, names, texts in _chunks(batches):
@@ -149,7 +157,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", id: str
             documents = held.read_all()
         texts = documents.column(1).to_pylist()
         chunk = Chunk(texts, buckets)
-        ids: dict[bytes, bytes] = {}
+        ids: dict[str, bytes] = {}
         for bucket, blob in zip(coded.column("bucket").to_pylist(), coded.column("ids"), strict=True):
             ids.update(zip(chunk.buckets[bucket], _unpacked(blob.as_py()), strict=True))
         put = Assembly(chunk, ids, path)
@@ -166,17 +174,24 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", id: str
 
 
 class Assembly:
-    """A chunk's documents by position: each unit's ids, their decimal text and their bytes are made once."""
+    """A chunk's documents by position: each word's ids, their decimal text and their bytes are made once, and each
+    unit's of its words'."""
 
-    def __init__(self, chunk: Chunk, ids: dict[bytes, bytes], path: str):
-        table = token_bytes(path)
+    def __init__(self, chunk: Chunk, ids: dict[str, bytes], path: str):
+        table, names = token_bytes(path), token_names(path)
         self.chunk = chunk
-        self.raw = {u: b"".join([ids[w.encode("utf-8")] for w in own]) for u, own in chunk.units.items()}
-        self.decimal, self.bytes = {}, {}
-        for u, raw in self.raw.items():
-            own = np.frombuffer(raw, "<u4").tolist()
-            self.decimal[u] = ",".join(map(str, own)).encode()
-            self.bytes[u] = b"".join([table[n] for n in own])
+        decimal, bytes_ = {}, {}
+        for w, raw in ids.items():
+            if len(raw) == 4:
+                n = int.from_bytes(raw, "little")
+                decimal[w], bytes_[w] = names[n], table[n]
+            else:
+                own = memoryview(raw).cast("I").tolist()
+                decimal[w], bytes_[w] = b",".join([names[n] for n in own]), b"".join([table[n] for n in own])
+        several = {u: own for u, own in chunk.units.items() if len(own) > 1}
+        self.raw = ids | {u: b"".join([ids[w] for w in own]) for u, own in several.items()}
+        self.decimal = decimal | {u: b",".join([decimal[w] for w in own]) for u, own in several.items()}
+        self.bytes = bytes_ | {u: b"".join([bytes_[w] for w in own]) for u, own in several.items()}
 
     def of(self, n: int) -> "Assembled":
         return Assembled(self, self.chunk.cut[n])
@@ -189,10 +204,6 @@ class Assembled:
     def ids(self) -> list[int]:
         return np.frombuffer(b"".join(map(self.within.raw.__getitem__, self.units)), "<u4").tolist()
 
-    def count(self) -> int:
-        raw = self.within.raw
-        return sum([len(raw[u]) for u in self.units]) // 4
-
     def decimals(self) -> bytes:
         return b",".join(map(self.within.decimal.__getitem__, self.units))
 
@@ -220,6 +231,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the bytes that they decode to."""
 
     def digests(one: Assembled) -> tuple:
-        return one.count(), hashlib.sha256(one.decimals()).hexdigest(), hashlib.sha256(one.decoded()).hexdigest()
+        told = one.decimals()
+        return told.count(b",") + 1 if told else 0, hashlib.sha256(told).hexdigest(), hashlib.sha256(one.decoded()).hexdigest()
 
     return encode(documents(spark, sf_dir), row=digests, schema="n_tokens long, ids_sha256 string, decoded_sha256 string")
