@@ -199,10 +199,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """docs with one row of each near-duplicate group: the smallest id (null last), of its texts the one with the
-    smallest hash, and of its repeated rows one. Columns are as before."""
-    rows, classes = classified(docs, text, id)
+def one_of_each(docs: DataFrame, text: str = "text", id: str = "doc_id", classify=classified) -> DataFrame:
+    """docs with one row of each near-duplicate group, as classify finds them: the smallest id (null last), of its
+    texts the one with the smallest hash, and of its repeated rows one. Columns are as before."""
+    rows, classes = classify(docs, text, id)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
     kept = rows.join(classes, "fp").select("root", order.alias("o")).groupBy("root").agg(F.min("o").alias("o"))
     kept = settle(kept.select(F.col("o.doc_id").alias("keep_id"), F.col("o.h").alias("keep_h")), "kept")
