@@ -368,7 +368,7 @@ def sigmoid_scores(spark, d):
 
 @query("select doc_id, regexp_extract(replace(replace(trim(substr(text, 1, 400)), 'The best answer is', ''), 'The answer', ''), '[ABCD]', 0) as pred from documents")
 def parse_answer_first_letter(spark, d):
-    return table(spark, d, "documents").select("doc_id", parsers.first_letter(F.substring("text", 1, 400)).alias("pred"))
+    return table(spark, d, "documents").select("doc_id", parsers.first_letter(F.col("text")).alias("pred"))
 
 
 @query(f"""with t as (select event_id, case event_id % 5 when 0 then '(' || {KIND} || ') or (B)' when 1 then 'It is ' || {KIND} || ' then C ' when 2 then {KIND} || '.x' when 3 then 'e' else '(' || {KIND} || ')' end as s, {KIND} as k from events)
