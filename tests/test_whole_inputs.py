@@ -10,6 +10,9 @@ from wavesift.plans import registry
 SF = "/root/testdata/sf0.001"
 CUTS = {
     "parse_answer_first_letter": ("substr(text, 1, 400)", "text"),
+    "subtitle_interval_join": (" where event_id % 3 = 0", ""),
+    "subtitle_cover_semi": (" where event_id % 3 = 0", ""),
+    "subtitle_interleave": (" where event_id % 3 = 0", ""),
 }
 
 

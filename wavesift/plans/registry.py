@@ -80,7 +80,7 @@ def _intervals(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     events = table(spark, d, "events")
     by = Window.partitionBy("user_id").orderBy("ts", "event_id")
     spans = events.select("user_id", "event_id", _seconds("ts").alias("start_s"), F.lead(F.unix_micros(F.col("ts").cast("timestamp"))).over(by).alias("e")).withColumn("end_s", F.col("e") / 1e6).drop("e").where("end_s is not null")
-    points = events.where("event_id % 3 = 0").select("user_id", F.col("event_id").alias("id"), (_seconds("ts") + 0.25).alias("t"))
+    points = events.select("user_id", F.col("event_id").alias("id"), (_seconds("ts") + 0.25).alias("t"))
     return points, spans
 
 
