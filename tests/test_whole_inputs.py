@@ -13,6 +13,7 @@ CUTS = {
     "subtitle_interval_join": (" where event_id % 3 = 0", ""),
     "subtitle_cover_semi": (" where event_id % 3 = 0", ""),
     "subtitle_interleave": (" where event_id % 3 = 0", ""),
+    "task_expand_recursive": (" where c_custkey % 10 = 0", ""),
 }
 
 
