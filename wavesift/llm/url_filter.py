@@ -9,9 +9,9 @@ from wavesift.llm.shared import forget, prepared, settle, table
 
 #: (verdict, host, path)
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-#: Share of a host's score that comes over links, most rounds, change at which they end, and the distrust from
-#: which a host is blocked if it has less trust.
-DAMPING, ROUNDS, SETTLED, THRESHOLD = 0.85, 20, 1e-4, 0.5
+#: Share of a host's score that comes over links, error at which rounds end, and the distrust from which a host is
+#: blocked if it has less trust. The error is in units of one seed.
+DAMPING, SETTLED, THRESHOLD = 0.85, 1e-4, 0.5
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -42,12 +42,14 @@ def edges(pages: DataFrame, html: str = "html") -> DataFrame:
     return each.select("src", F.translate("dst", _UPPER, _LOWER).alias("dst")).where("src != dst").groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def propagate(hosts: DataFrame, links: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(hosts: DataFrame, links: DataFrame, damping: float = DAMPING) -> DataFrame:
     """host, trust and distrust from hosts (host, trusted, blocked: shares of seeds) and links (src, dst, links).
 
     trust is personalised PageRank along links from trusted seeds, distrust the same against them from blocked
     seeds, each in units of one seed. Both spread in one pass: an edge for trust and a turned one for distrust.
-    Without links the seeds are the scores.
+    Without links the seeds are the scores. A round adds the paths that are one link longer, so scores grow and all
+    that later rounds can add, to any host, is damping / (1 - damping) of what this one added to all; rounds end once
+    that is below SETTLED. Their number follows the logarithm of the number of seeds.
     """
     seeds = hosts.select("host", F.explode(F.array(F.struct(F.lit(0).alias("way"), F.col("trusted").alias("seed")), F.struct(F.lit(1).alias("way"), F.col("blocked").alias("seed")))).alias("s")).select("host", "s.way", "s.seed")
     if not links.isEmpty():
@@ -56,14 +58,14 @@ def propagate(hosts: DataFrame, links: DataFrame, damping: float = DAMPING, roun
         ways = settle(ways.join(out, ["way", "from"]).select("way", "from", "to", (F.col("links") / F.col("total")).alias("part")), "ways")
         ends = ways.select(F.col("to").alias("host"), "way", F.lit(0.0).alias("seed"))
         seeds = settle(seeds.union(ends).groupBy("host", "way").agg(F.sum("seed").alias("seed")), "seeds")
-        scores = settle(seeds.select("host", "way", F.col("seed").alias("score")), "scores")
-        for n in range(rounds):
+        scores = settle(seeds.select("host", "way", ((1 - damping) * F.col("seed")).alias("score")), "scores")
+        while True:
             sent = ways.join(scores, (ways["from"] == scores["host"]) & (ways["way"] == scores["way"])).groupBy(F.col("to").alias("host"), ways["way"]).agg(F.sum(F.col("part") * F.col("score")).alias("got"))
             again = settle(seeds.join(sent, ["host", "way"], "left").select("host", "way", ((1 - damping) * F.col("seed") + damping * F.coalesce("got", F.lit(0.0))).alias("score")), "scores")
-            moved = again.join(scores.withColumnRenamed("score", "old"), ["host", "way"]).agg(F.max(F.abs(F.col("score") - F.col("old"))).alias("most")).first().most
+            moved = again.join(scores.withColumnRenamed("score", "old"), ["host", "way"]).agg(F.sum(F.abs(F.col("score") - F.col("old"))).alias("all")).first()["all"]
             forget(scores)
             scores = again
-            if n and (moved or 0.0) < SETTLED * (1 - damping):
+            if damping * (moved or 0.0) < SETTLED * (1 - damping) ** 2:
                 break
         seeds = scores.select("host", "way", (F.col("score") / (1 - damping)).alias("seed"))
     return seeds.groupBy("host").agg(F.sum(F.when(F.col("way") == 0, F.col("seed"))).alias("trust"), F.sum(F.when(F.col("way") == 1, F.col("seed"))).alias("distrust"))
