@@ -29,7 +29,7 @@ MORE = {
     "phone_local": r"(?<![0-9+.])(?:\([0-9]{2,5}\)|[0-9]{2,5})(?:[\x20./-][0-9]{2,5}){1,4}(?![0-9])",
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,200}(?![A-Za-z0-9_-])",
+    "secret": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+(?![A-Za-z0-9_-])",
 }
 KINDS = [*BASE, *MORE]
 #: A cheap test that a text must pass before a pattern is tried.
@@ -177,7 +177,7 @@ def find(docs: DataFrame, text: str = "text", out: str = "pii_spans", sample: in
     """docs with an array of spans (kind, start, end, hit) in order of start, then of kind.
 
     Base spans (email, ip, card, phone) are all there; others are there if the trees' score reaches the threshold
-    of their kind and they overlap no base span. start and end are code points, end exclusive. A null text has no spans. Texts are searched
+    of their kind, also where they overlap base spans. start and end are code points, end exclusive. A null text has no spans. Texts are searched
     whole; rows are neither dropped nor repeated; a column of docs named like out, or beginning with pii_, is
     replaced.
     """
@@ -192,8 +192,7 @@ def find(docs: DataFrame, text: str = "text", out: str = "pii_spans", sample: in
                 wanted = wanted | ((c["s"]["kind"] == k) & (F.round(model.expression(columns(c)), 6) >= round(cut, 6)))
         return wanted
 
-    apart = lambda s: ~F.exists("pii_base", lambda b: (s["start"] < b["end"]) & (s["end"] > b["start"]))
-    added = F.filter(F.transform(F.filter("pii_found", chosen), lambda c: c["s"]), apart)
+    added = F.transform(F.filter("pii_found", chosen), lambda c: c["s"])
     spans = F.expr("array_sort(pii_all, (a, b) -> case when a.start < b.start then -1 when a.start > b.start then 1 when a.kind < b.kind then -1 when a.kind > b.kind then 1 else 0 end)")
     return made.withColumn("pii_added", added).withColumn("pii_all", F.concat("pii_base", "pii_added")).withColumn("pii_sorted", spans).drop(out).withColumn(out, F.col("pii_sorted")).drop(*[c for c in ("pii_text", "pii_base", "pii_found", "pii_added", "pii_all", "pii_sorted") if c != out])
 
