@@ -120,5 +120,5 @@ def write_report(results: DataFrame, folder: str, name: str, date: str) -> str:
     """One JSON file <name>+<date>.json of a small table of aggregated results; its path."""
     path = os.path.join(folder, f"{name}+{re.sub(r'[^\w.]', '_', date)}.json")
     with open(path, "w", encoding="utf-8") as f:
-        json.dump([r.asDict(recursive=True) for r in results.limit(10_000).collect()], f, ensure_ascii=False, default=str)
+        json.dump([r.asDict(recursive=True) for r in results.collect()], f, ensure_ascii=False, default=str)
     return path
