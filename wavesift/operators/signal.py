@@ -25,12 +25,14 @@ def min_distance(n: str = "n", ratio: float = 0.02, least: int = 5) -> F.Column:
 
 def one_level(rows: DataFrame, high: bool, wavelet: str = "db4") -> DataFrame:
     """Rows (seq_id, pos, coef): the first level's detail or approximation. Each row is sent to the coefficients
-    that use it: a tap each, reflected at the borders; sequences shorter than the filter are left out."""
+    that use it: a tap each, reflected at the borders, repeatedly where a sequence is shorter than the filter."""
     low, detail = k.filters(wavelet)
     f, taps = (detail if high else low)[::-1], len(low)
-    held = rows.withColumn("n", F.count("*").over(_seq())).where(F.col("n") >= taps)
-    places = F.array(F.col("idx"), -1 - F.col("idx"), 2 * F.col("n") - 1 - F.col("idx"))
-    each = held.select("seq_id", "score", "n", F.explode(places).alias("at"))
+    held = rows.withColumn("n", F.count("*").over(_seq()))
+    turns = F.ceil(F.lit(float(taps)) / F.col("n"))
+    places = F.flatten(F.transform(F.sequence(-turns, turns), lambda t: F.array(2 * F.col("n") * t + F.col("idx"), 2 * F.col("n") * t - 1 - F.col("idx"))))
+    near = F.filter(places, lambda at: (at >= 2 - taps) & (at <= F.col("n") + taps - 2))
+    each = held.select("seq_id", "score", "n", F.explode(near).alias("at"))
     spread = each.select("seq_id", "score", "n", "at", F.posexplode(F.array(*[F.lit(float(x)) for x in f])).alias("j", "tap"))
     hit = spread.where((F.col("at") + F.col("j") - 1) % 2 == 0).withColumn("pos", F.floor((F.col("at") + F.col("j") - 1) / 2))
     hit = hit.where((F.col("pos") >= 0) & (F.col("pos") < F.floor((F.col("n") + taps - 1) / 2)))
