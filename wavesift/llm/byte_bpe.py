@@ -1,78 +1,49 @@
 """Byte-level BPE over the distinct words of the whole corpus, and decoding by the token-byte table.
 
-Documents are gathered into chunks. A chunk's distinct pre-tokens, in a fixed order, are its positions' dictionary;
-they go to workers by hash, where each distinct word is encoded once, and their ids come back to the chunk, which
-puts its documents together by position. So a word travels once for each chunk that holds it and not once for each
-place where it stands.
+Documents are exploded into pre-tokens with their positions, as one row for each word of a chunk of documents, so
+that the rows are few. Each distinct word of the corpus is encoded once; its ids are joined back to the rows, which
+return to their chunk, where documents are put together by position. Decoding does the same with ids instead of
+words: they are exploded with their positions, joined with the token-byte table, and put together again.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
-from wavesift.llm import bpe
-from wavesift.llm.shared import documents, prepared
+from wavesift.llm import bpe, places
+from wavesift.llm.shared import documents, prepared, settle
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Characters of text in a chunk, beyond which the next document begins another.
-CHUNK = 16_000_000
-#: Documents in a chunk at most.
-CHUNK_ROWS = 20_000
-#: Hash buckets of words for each shuffle partition: a worker holds the distinct words of one bucket at a time.
-BUCKETS = 4
-
-
-class Chunk:
-    """Documents cut into units, the distinct units cut into words, and the distinct words by bucket."""
-
-    def __init__(self, texts: list[str | None], buckets: int):
-        self.cut = [self._units(t) for t in texts]
-        self.units = {u: bpe.short_pre_tokens(u) for u in dict.fromkeys(chain.from_iterable(self.cut))}
-        self.buckets: dict[int, list[str]] = {}
-        for w in dict.fromkeys(chain.from_iterable(self.units.values())):
-            self.buckets.setdefault(zlib.crc32(w.encode("utf-8")) % buckets, []).append(w)
-
-    def packed(self) -> list[bytes]:
-        return [_packed([w.encode("utf-8") for w in own]) for own in self.buckets.values()]
-
-    @staticmethod
-    def _units(text: str | None) -> list[str]:
-        if not text:
-            return []
-        found = bpe.pieces(text)
-        if found is None:
-            return [text]
-        return found[:1] + [" " + u for u in found[1:]] if found[0] else [" " + u for u in found[1:]]
-
+#: Characters of text in a chunk, beyond which the next document begins another, and documents in it at most.
+CHUNK, CHUNK_ROWS = 8_000_000, 20_000
+#: Ids that are decoded together.
+IDS = 2_000_000
+#: Chunks whose rows of one word are joined in one place; with more chunks the word is sent to several.
+CHUNKS = 1_024
 
-def _packed(values: list[bytes]) -> bytes:
-    sizes = np.fromiter(map(len, values), "<u4", len(values)).tobytes()
-    return zstandard.compress(len(values).to_bytes(4, "little") + sizes + b"".join(values), 1)
 
+class _Numbered(dict):
+    """Numbers for values in order of their first appearance."""
 
-def _unpacked(blob: bytes) -> list[bytes]:
-    raw = zstandard.decompress(blob)
-    n = int.from_bytes(raw[:4], "little")
-    ends = (np.frombuffer(raw, "<u4", n, 4).cumsum(dtype=np.int64) + 4 + 4 * n).tolist()
-    return [raw[a:b] for a, b in zip([4 + 4 * n, *ends], ends, strict=False)]
+    def __missing__(self, value):
+        n = self[value] = len(self)
+        return n
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, list[str | None]]]:
-    """Chunks of a partition, the same each time the partition is read."""
-    at, size, names, texts = TaskContext.get().partitionId() << 24, 0, [], []
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str | None]]]:
+    """Names and texts of a partition's chunks."""
+    size, names, texts = 0, [], []
     for b in batches:
         own = b.column(1).to_pylist()
         begun = 0
@@ -81,157 +52,191 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array,
             texts.append(t)
             if size >= CHUNK or len(texts) >= CHUNK_ROWS:
                 names.append(b.column(0).slice(begun, i + 1 - begun))
-                yield at, pa.concat_arrays(names), texts
-                at, size, names, texts, begun = at + 1, 0, [], [], i + 1
+                yield pa.concat_arrays(names), texts
+                size, names, texts, begun = 0, [], [], i + 1
         if begun < len(own):
             names.append(b.column(0).slice(begun))
     if texts:
-        yield at, pa.concat_arrays(names), texts
+        yield pa.concat_arrays(names), texts
+
+
+def _cut(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct pre-tokens of a chunk, which of them stand where, and how many each text has."""
+    words, spaced, first = _Numbered(), _Numbered(), _Numbered()
+    units, own, sizes = [], [], []  # a unit: a text's start, or a space and what follows up to the next
+    for t in texts:
+        found = bpe.pieces(t) if t else []
+        if found is None:
+            units.append(np.fromiter((-1 - words[w] for w in bpe.pre_tokens(t)), np.int64))
+        elif found:
+            begun = [2 * first[found[0]]] if found[0] else []
+            rest = np.fromiter(map(spaced.__getitem__, found[1:]), np.int64, len(found) - 1)
+            units.append(np.concatenate([np.array(begun, np.int64), 2 * rest + 1]))
+        else:
+            units.append(np.zeros(0, np.int64))
+    # words of each unit, in the order: those at texts' starts, those after spaces
+    for string in [*first, *(" " + u for u in spaced)]:
+        own.append([words[w] for w in bpe.short_pre_tokens(string)])
+    own.extend([w] for w in range(len(words)))  # words that stand alone, of texts that are not cut at spaces
+    lengths = np.fromiter(map(len, own), np.int64, len(own))
+    starts = np.concatenate([[0], lengths.cumsum()])
+    held = np.fromiter((w for u in own for w in u), np.int64, int(starts[-1]))
+    alone = len(first) + len(spaced)
+    sizes = np.fromiter(map(len, units), np.int64, len(units))
+    u = np.concatenate(units) if units else np.zeros(0, np.int64)
+    at = np.where(u < 0, alone - 1 - u, np.where(u % 2 == 0, u // 2, len(first) + u // 2))
+    wide = lengths[at]
+    ends = np.concatenate([[0], wide.cumsum()])
+    stream = held[np.repeat(starts[at] - ends[:-1], wide) + np.arange(ends[-1])]
+    bounds = ends[np.concatenate([[0], sizes.cumsum()])]
+    return list(words), stream, np.diff(bounds)
+
+
+def explode(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """Rows (chunk, word, places) of all pre-tokens, and for each chunk one row with the ids of its documents (held)
+    and their numbers of pre-tokens (sizes). The table is settled, so that a chunk holds the same documents for all
+    that read it."""
+    chosen = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
+    kind = to_arrow_type(chosen.schema["doc_id"].dataType)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels = ["chunk", "word", "places", "held", "sizes"]
+        for n, (names, texts) in enumerate(_chunks(batches)):
+            at = (TaskContext.get().partitionId() << 32) + n
+            words, stream, sizes = _cut(texts)
+            if words:
+                packed, starts = places.gathered(stream, len(words))
+                rows = len(words)
+                yield pa.record_batch([pa.array(np.full(rows, at)), pa.array([w.encode("utf-8") for w in words], pa.binary()), places.binary(packed, starts), pa.nulls(rows, pa.list_(kind)), pa.nulls(rows, pa.binary())], labels)
+            whole = pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names.cast(kind))
+            yield pa.record_batch([pa.array([at], pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), whole, pa.array([sizes.astype("<i4").tobytes()], pa.binary())], labels)
+
+    return settle(chosen.mapInArrow(each, f"chunk long, word binary, places binary, held array<{chosen.schema['doc_id'].dataType.simpleString()}>, sizes binary"), "pre-tokens")
 
 
 @lru_cache(maxsize=2)
 def token_bytes(path: str) -> list[bytes]:
-    """The token-byte table: the bytes of each id, in the order of ids."""
+    """The bytes of each id, in the order of ids."""
     coder = bpe.load(path)
     return [coder.decode_single_token_bytes(n) for n in range(coder.n_vocab)]
 
 
-@lru_cache(maxsize=2)
-def token_names(path: str) -> list[bytes]:
-    """The decimal text of each id."""
-    return [str(n).encode() for n in range(len(token_bytes(path)))]
+def token_table(spark: SparkSession, path: str) -> DataFrame:
+    """The token-byte table (token, bytes); the vocabulary bounds it."""
+    held = token_bytes(path)
+    return spark.createDataFrame(pa.table({"token": pa.array(range(len(held)), pa.int32()), "bytes": pa.array(held, pa.binary())}))
 
 
-def encode_words(path: str):
-    """(chunk, bucket, words) to (chunk, bucket, ids); a task encodes each of its distinct words once."""
+def encode_words(words: DataFrame, path: str) -> DataFrame:
+    """(word, ids) of a column of distinct words; ids as unsigned 32-bit integers."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = bpe.load(path)._encode_single_piece
-        held, known = None, {}
         for b in batches:
-            out = []
-            for bucket, words in zip(b.column(1).to_pylist(), b.column(2), strict=True):
-                if bucket != held:
-                    held, known = bucket, {}
-                ids = []
-                for w in _unpacked(words.as_py()):
-                    if (found := known.get(w)) is None:
-                        found = known[w] = array("I", one(w)).tobytes()
-                    ids.append(found)
-                out.append(_packed(ids))
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(out, pa.binary())], ["chunk", "bucket", "ids"])
+            yield pa.record_batch([b.column(0), pa.array([array("I", one(w)).tobytes() for w in b.column(0).to_pylist()], pa.binary())], ["word", "ids"])
+
+    return words.mapInArrow(each, "word binary, ids binary")
+
 
-    return each
+def _more(spark: SparkSession, schema: str) -> tuple[list[str], list[pa.DataType]]:
+    found = to_arrow_schema(spark.createDataFrame([], schema).schema) if schema else []
+    return [f.name for f in found], [f.type for f in found]
 
 
-def encode(docs: DataFrame, path: str | None = None, text: str = "text", id: str = "doc_id", row=None, schema: str = "ids array<int>") -> DataFrame:
-    """doc_id and, by default, ids of every row of docs; row(ids, path) can make other columns from a row's ids.
+def encode(docs: DataFrame, path: str | None = None, text: str = "text", id: str = "doc_id", row: Callable | None = None, schema: str = "") -> DataFrame:
+    """doc_id and ids of every row of docs, and the columns of schema that row(ids) makes.
 
     Null and empty texts have no ids; repeated rows each return; an empty table gives no rows; other columns are
-    not read. There are no special tokens: their strings are ordinary text.
+    not read, so they may have any names. There are no special tokens: their strings are ordinary text. A chunk's
+    documents are put together in one worker, which holds one chunk at a time.
     """
     spark = prepared(docs.sparkSession)
     path = path or public_tokenizers.path(RANKS)
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = partitions * BUCKETS
-    make = row or (lambda assembled: [assembled.ids()])
-    chosen = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
-    kind = chosen.schema["doc_id"].dataType.simpleString()
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for at, _, texts in _chunks(batches):
-            found = Chunk(texts, buckets)
-            names = list(found.buckets)
-            yield pa.record_batch([pa.array([at] * len(names), pa.int64()), pa.array(names, pa.int32()), pa.array(found.packed(), pa.binary())], ["chunk", "bucket", "words"])
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for at, names, texts in _chunks(batches):
-            rows = pa.record_batch([names, pa.array(texts, pa.string())], ["doc_id", "text"])
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, rows.schema) as out:
-                out.write_batch(rows)
-            yield pa.record_batch([pa.array([at], pa.int64()), pa.array([zstandard.compress(sink.getvalue(), 3)], pa.binary())], ["chunk", "rows"])
-
-    def together(key: tuple, coded: pa.Table, rows: pa.Table) -> pa.Table:
-        with pa.ipc.open_stream(zstandard.decompress(rows.column("rows")[0].as_py())) as held:
-            documents = held.read_all()
-        texts = documents.column(1).to_pylist()
-        chunk = Chunk(texts, buckets)
-        ids: dict[str, bytes] = {}
-        for bucket, blob in zip(coded.column("bucket").to_pylist(), coded.column("ids"), strict=True):
-            ids.update(zip(chunk.buckets[bucket], _unpacked(blob.as_py()), strict=True))
-        put = Assembly(chunk, ids, path)
-        columns = zip(*(make(put.of(n)) for n in range(len(texts))), strict=True)
-        return pa.table([documents.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["doc_id", *labels])
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    fields = spark.createDataFrame([], schema).schema.fields
-    labels, types = [f.name for f in fields], [to_arrow_type(f.dataType) for f in fields]
-    coded = chosen.mapInArrow(words, "chunk long, bucket int, words binary").repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(encode_words(path), "chunk long, bucket int, ids binary")
-    held = chosen.mapInArrow(whole, "chunk long, rows binary")
-    return coded.groupBy("chunk").cogroup(held.groupBy("chunk")).applyInArrow(together, f"doc_id {kind}, {schema}")
-
-
-class Assembly:
-    """A chunk's documents by position: each word's ids, their decimal text and their bytes are made once, and each
-    unit's of its words'."""
-
-    def __init__(self, chunk: Chunk, ids: dict[str, bytes], path: str):
-        table, names = token_bytes(path), token_names(path)
-        self.chunk = chunk
-        decimal, bytes_ = {}, {}
-        for w, raw in ids.items():
-            if len(raw) == 4:
-                n = int.from_bytes(raw, "little")
-                decimal[w], bytes_[w] = names[n], table[n]
-            else:
-                own = memoryview(raw).cast("I").tolist()
-                decimal[w], bytes_[w] = b",".join([names[n] for n in own]), b"".join([table[n] for n in own])
-        several = {u: own for u, own in chunk.units.items() if len(own) > 1}
-        self.raw = ids | {u: b"".join([ids[w] for w in own]) for u, own in several.items()}
-        self.decimal = decimal | {u: b",".join([decimal[w] for w in own]) for u, own in several.items()}
-        self.bytes = bytes_ | {u: b"".join([bytes_[w] for w in own]) for u, own in several.items()}
-
-    def of(self, n: int) -> "Assembled":
-        return Assembled(self, self.chunk.cut[n])
-
-
-class Assembled:
-    def __init__(self, within: Assembly, units: list[str]):
-        self.within, self.units = within, units
-
-    def ids(self) -> list[int]:
-        return np.frombuffer(b"".join(map(self.within.raw.__getitem__, self.units)), "<u4").tolist()
-
-    def decimals(self) -> bytes:
-        return b",".join(map(self.within.decimal.__getitem__, self.units))
-
-    def decoded(self) -> bytes:
-        return b"".join(map(self.within.bytes.__getitem__, self.units))
-
-
-def decode(rows: DataFrame, path: str | None = None, ids: str = "ids", id: str = "doc_id") -> DataFrame:
-    """doc_id and bytes: the ids of each row joined with the token-byte table, which the vocabulary bounds. Null
-    ids give null; ids that the table lacks are an error."""
-    prepared(rows.sparkSession)
+    rows = explode(docs, text, id)
+    words = settle(encode_words(rows.where("word is not null").select("word").distinct(), path), "words")
+    chunks = rows.where("sizes is not null").count()
+    own = rows.where("word is not null").select("chunk", "word", "places")
+    if (salts := -(-chunks // CHUNKS)) > 1:
+        own = own.withColumn("salt", F.pmod(F.xxhash64("chunk"), F.lit(salts)))
+        words = words.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    coded = own.join(words, ["word"] + ["salt"] * (salts > 1)).select("chunk", "places", "ids", F.lit(None).cast(rows.schema["held"].dataType).alias("held"), F.lit(None).cast("binary").alias("sizes"))
+    ends = rows.where("sizes is not null").select("chunk", "places", F.lit(None).cast("binary").alias("ids"), "held", "sizes")
+    labels, types = _more(spark, schema)
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, end in places.runs(batches, "sizes"):
+            sizes = np.frombuffer(end.column("sizes")[0].as_py(), "<i4").astype(np.int64)
+            place = places.scattered(*places.flat(words.column("places")), int(sizes.sum()))
+            raw, starts = places.flat(words.column("ids"))
+            flat, starts = raw.view("<u4"), starts // 4
+            wide = np.diff(starts)[place]
+            ends = np.concatenate([[0], wide.cumsum()])
+            ids = flat[np.repeat(starts[:-1][place] - ends[:-1], wide) + np.arange(ends[-1])]
+            bounds = ends[np.concatenate([[0], sizes.cumsum()])]
+            made = zip(*(row(ids[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)), strict=True) if labels else []
+            listed = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.view(np.int32)))
+            yield pa.record_batch([end.column("held").flatten(), listed, *(pa.array(c, t) for c, t in zip(made, types, strict=True))], ["doc_id", "ids", *labels])
+
+    spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chunks // 4)
+    met = coded.union(ends).repartition(spread, "chunk").sortWithinPartitions("chunk", F.col("sizes").isNotNull())
+    kind = rows.schema["held"].dataType.elementType.simpleString()
+    return met.mapInArrow(together, f"doc_id {kind}, ids array<int>" + (", " + schema if schema else ""))
+
+
+def decode(rows: DataFrame, path: str | None = None, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",), row: Callable | None = None, schema: str = "bytes binary") -> DataFrame:
+    """The columns keep of every row and, by default, the bytes that its ids stand for; row(bytes) can make the
+    columns of schema instead.
+
+    Ids are exploded with their positions, a row for each distinct one of a batch of rows, and joined with the
+    token-byte table, which the vocabulary bounds, so nothing is shuffled. Null ids give null bytes, no ids give no
+    bytes; ids that the table lacks are an error. Repeated rows each return; an empty table gives no rows; other
+    columns are not read.
+    """
+    spark = prepared(rows.sparkSession)
     path = path or public_tokenizers.path(RANKS)
+    chosen = rows.select(F.struct(*keep).alias("held"), F.col(ids).alias("ids"))
+    kept = to_arrow_type(chosen.schema["held"].dataType)
+    make = row or (lambda b: [b])
+    labels, types = _more(spark, schema)
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = token_bytes(path)
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [None if own is None else b"".join([table[n] for n in own]) for own in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array(made, pa.binary())], ["doc_id", "bytes"])
-
-    chosen = rows.select(F.col(id).alias("doc_id"), F.col(ids).alias("ids"))
-    return chosen.mapInArrow(each, f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, bytes binary")
+            lists = b.column(1)
+            sizes = np.where(lists.is_valid().to_numpy(zero_copy_only=False), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), -1)
+            part = np.maximum(sizes, 0).cumsum() // IDS
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(sizes)]]).tolist()
+            for a, e in zip(cuts[:-1], cuts[1:], strict=True):
+                found, codes = np.unique(lists.slice(a, e - a).flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+                if len(found):
+                    n = len(found)
+                    yield pa.record_batch([pa.array(found, pa.int32()), places.binary(*places.gathered(codes, n)), pa.nulls(n, pa.list_(kept)), pa.nulls(n, pa.binary())], ["token", "places", "held", "sizes"])
+                held = pa.ListArray.from_arrays(pa.array([0, e - a], pa.int32()), pa.concat_arrays([b.column(0).slice(a, e - a)]).cast(kept))
+                yield pa.record_batch([pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), held, pa.array([sizes[a:e].astype("<i4").tobytes()], pa.binary())], ["token", "places", "held", "sizes"])
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tokens, end in places.runs(batches, "sizes"):
+            sizes = np.frombuffer(end.column("sizes")[0].as_py(), "<i4").astype(np.int64)
+            known = tokens.column("bytes").to_pylist()
+            if None in known:
+                raise ValueError("an id that the token-byte table lacks")
+            place = places.scattered(*places.flat(tokens.column("places")), int(np.maximum(sizes, 0).sum()))
+            ends = np.concatenate([[0], np.maximum(sizes, 0).cumsum()]).tolist()
+            of = known.__getitem__
+            made = (make(None if n < 0 else b"".join(map(of, place[a:b].tolist()))) for n, a, b in zip(sizes.tolist(), ends[:-1], ends[1:], strict=True))
+            columns = [pa.array(c, t) for c, t in zip(zip(*made, strict=True), types, strict=True)]
+            yield pa.record_batch([*end.column("held").flatten().flatten(), *columns], [*keep, *labels])
+
+    fields = ", ".join(f"`{c}` {chosen.schema['held'].dataType[c].dataType.simpleString()}" for c in keep)
+    exploded = chosen.mapInArrow(apart, f"token int, places binary, held array<{chosen.schema['held'].dataType.simpleString()}>, sizes binary")
+    return exploded.join(F.broadcast(token_table(spark, path)), "token", "left").select("places", "bytes", "held", "sizes").mapInArrow(together, f"{fields}, {schema}")
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the bytes that they decode to."""
+    path = public_tokenizers.path(RANKS)
 
-    def digests(one: Assembled) -> tuple:
-        told = one.decimals()
-        return told.count(b",") + 1 if told else 0, hashlib.sha256(told).hexdigest(), hashlib.sha256(one.decoded()).hexdigest()
+    def told(ids: np.ndarray) -> tuple:
+        return len(ids), hashlib.sha256(",".join(map(str, ids.tolist())).encode()).hexdigest()
 
-    return encode(documents(spark, sf_dir), row=digests, schema="n_tokens long, ids_sha256 string, decoded_sha256 string")
+    coded = encode(documents(spark, sf_dir), path, row=told, schema="n_tokens long, ids_sha256 string")
+    return decode(coded, path, keep=("doc_id", "n_tokens", "ids_sha256"), row=lambda b: [hashlib.sha256(b).hexdigest()], schema="decoded_sha256 string")
