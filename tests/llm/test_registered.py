@@ -69,9 +69,9 @@ def test_op9(spark, texts):
     assert {i: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for i, r in run(spark, "op9_byte_bpe").items()} == want
 
 
-def test_op9_in_small_chunks_with_spread_words(spark, texts, monkeypatch):
+def test_op9_in_small_chunks_and_buckets(spark, texts, monkeypatch):
     monkeypatch.setattr(byte_bpe, "CHUNK", 20_000)
-    monkeypatch.setattr(byte_bpe, "CHUNKS", 3)
+    monkeypatch.setattr(byte_bpe, "BUCKET", 10_000)
     monkeypatch.setattr(byte_bpe, "IDS", 5_000)
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumnRenamed("lang", "chunk").withColumnRenamed("source", "word")
     back = byte_bpe.decode(byte_bpe.encode(docs), keep=("doc_id",))

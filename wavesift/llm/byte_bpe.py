@@ -1,14 +1,17 @@
 """Byte-level BPE over the distinct words of the whole corpus, and decoding by the token-byte table.
 
-Documents are exploded into pre-tokens with their positions, as one row for each word of a chunk of documents, so
-that the rows are few. Each distinct word of the corpus is encoded once; its ids are joined back to the rows, which
-return to their chunk, where documents are put together by position. Decoding does the same with ids instead of
-words: they are exploded with their positions, joined with the token-byte table, and put together again.
+Documents are exploded into pre-tokens with their positions, gathered by word within chunks of documents: a chunk has
+one row with all positions and one with the words of each hash bucket. Words go to workers by bucket, where each
+distinct word is encoded once; their ids are joined back to the chunk, where documents are put together by position.
+So a common word travels once for each chunk and not with its positions, and buckets are alike in size. Decoding does
+the same with ids instead of words: they are exploded with their positions, joined with the token-byte table, and put
+together again.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -26,11 +29,11 @@ from wavesift.llm.shared import documents, prepared, settle
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Characters of text in a chunk, beyond which the next document begins another, and documents in it at most.
-CHUNK, CHUNK_ROWS = 8_000_000, 20_000
+CHUNK, CHUNK_ROWS = 16_000_000, 50_000
 #: Ids that are decoded together.
 IDS = 2_000_000
-#: Chunks whose rows of one word are joined in one place; with more chunks the word is sent to several.
-CHUNKS = 1_024
+#: Bytes of text for each hash bucket of words, of which a worker holds one at a time.
+BUCKET = 64_000_000
 
 
 class _Numbered(dict):
@@ -92,26 +95,44 @@ def _cut(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
     return list(words), stream, np.diff(bounds)
 
 
-def explode(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """Rows (chunk, word, places) of all pre-tokens, and for each chunk one row with the ids of its documents (held)
-    and their numbers of pre-tokens (sizes). The table is settled, so that a chunk holds the same documents for all
-    that read it."""
+def _by_bucket(words: list[str], buckets: int) -> tuple[list[tuple[int, list[bytes]]], np.ndarray]:
+    """Words by hash bucket, sorted in each, and each word's place among all of them in this order."""
+    own = [w.encode("utf-8") for w in words]
+    keys = [(zlib.crc32(w) % buckets, w) for w in own]
+    order = sorted(range(len(own)), key=keys.__getitem__)
+    out: list[tuple[int, list[bytes]]] = []
+    for n in order:
+        bucket, w = keys[n]
+        if not out or out[-1][0] != bucket:
+            out.append((bucket, []))
+        out[-1][1].append(w)
+    rank = np.empty(len(own), np.int64)
+    rank[order] = np.arange(len(own))
+    return out, rank
+
+
+def explode(docs: DataFrame, buckets: int, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """For each chunk a row (chunk, bucket, words) for each bucket of its words, and one row with the ids of its
+    documents (held), their numbers of pre-tokens (sizes) and the places of each word, in order of bucket and word.
+    The table is settled, so that a chunk holds the same documents for all that read it."""
     chosen = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
     kind = to_arrow_type(chosen.schema["doc_id"].dataType)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labels = ["chunk", "word", "places", "held", "sizes"]
+        labels = ["chunk", "bucket", "words", "held", "sizes", "places"]
         for n, (names, texts) in enumerate(_chunks(batches)):
             at = (TaskContext.get().partitionId() << 32) + n
             words, stream, sizes = _cut(texts)
-            if words:
-                packed, starts = places.gathered(stream, len(words))
-                rows = len(words)
-                yield pa.record_batch([pa.array(np.full(rows, at)), pa.array([w.encode("utf-8") for w in words], pa.binary()), places.binary(packed, starts), pa.nulls(rows, pa.list_(kind)), pa.nulls(rows, pa.binary())], labels)
+            held, rank = _by_bucket(words, buckets)
+            rows = len(held)
+            if rows:
+                blobs = [places.packed(own) for _, own in held]
+                yield pa.record_batch([pa.array([at] * rows, pa.int64()), pa.array([x for x, _ in held], pa.int32()), pa.array(blobs, pa.binary()), pa.nulls(rows, pa.list_(kind)), pa.nulls(rows, pa.binary()), pa.nulls(rows, pa.binary())], labels)
             whole = pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names.cast(kind))
-            yield pa.record_batch([pa.array([at], pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), whole, pa.array([sizes.astype("<i4").tobytes()], pa.binary())], labels)
+            where = places.stored(*places.gathered(rank[stream], len(words)))
+            yield pa.record_batch([pa.array([at], pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), whole, pa.array([places.squeezed(sizes)], pa.binary()), pa.array([where], pa.binary())], labels)
 
-    return settle(chosen.mapInArrow(each, f"chunk long, word binary, places binary, held array<{chosen.schema['doc_id'].dataType.simpleString()}>, sizes binary"), "pre-tokens")
+    return settle(chosen.mapInArrow(each, f"chunk long, bucket int, words binary, held array<{chosen.schema['doc_id'].dataType.simpleString()}>, sizes binary, places binary"), "pre-tokens")
 
 
 @lru_cache(maxsize=2)
@@ -127,15 +148,34 @@ def token_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(pa.table({"token": pa.array(range(len(held)), pa.int32()), "bytes": pa.array(held, pa.binary())}))
 
 
-def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """(word, ids) of a column of distinct words; ids as unsigned 32-bit integers."""
+def encode_words(rows: DataFrame, path: str) -> DataFrame:
+    """(chunk, bucket, ids) of rows (chunk, bucket, words) that are sorted by bucket within partitions; a worker
+    encodes each distinct word of a bucket once. ids hold how many each word has, and all of them."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = bpe.load(path)._encode_single_piece
+        held, known = None, {}
         for b in batches:
-            yield pa.record_batch([b.column(0), pa.array([array("I", one(w)).tobytes() for w in b.column(0).to_pylist()], pa.binary())], ["word", "ids"])
+            out = []
+            for bucket, words in zip(b.column(1).to_pylist(), b.column(2), strict=True):
+                if bucket != held:
+                    held, known = bucket, {}
+                own = []
+                for w in places.unpacked(words.as_py()):
+                    if (found := known.get(w)) is None:
+                        found = known[w] = array("I", one(w)).tobytes()
+                    own.append(found)
+                counts = np.fromiter(map(len, own), np.int64, len(own)) // 4
+                sizes = places.squeezed(counts)
+                out.append(len(sizes).to_bytes(4, "little") + sizes + places.squeezed(np.frombuffer(b"".join(own), "<u4")))
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(out, pa.binary())], ["chunk", "bucket", "ids"])
 
-    return words.mapInArrow(each, "word binary, ids binary")
+    return rows.mapInArrow(each, "chunk long, bucket int, ids binary")
+
+
+def _ids(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(blob[:4], "little")
+    return places.loosened(blob[4 : 4 + n]), places.loosened(blob[4 + n :])
 
 
 def _more(spark: SparkSession, schema: str) -> tuple[list[str], list[pa.DataType]]:
@@ -152,24 +192,25 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", id: str
     """
     spark = prepared(docs.sparkSession)
     path = path or public_tokenizers.path(RANKS)
-    rows = explode(docs, text, id)
-    words = settle(encode_words(rows.where("word is not null").select("word").distinct(), path), "words")
-    chunks = rows.where("sizes is not null").count()
-    own = rows.where("word is not null").select("chunk", "word", "places")
-    if (salts := -(-chunks // CHUNKS)) > 1:
-        own = own.withColumn("salt", F.pmod(F.xxhash64("chunk"), F.lit(salts)))
-        words = words.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    coded = own.join(words, ["word"] + ["salt"] * (salts > 1)).select("chunk", "places", "ids", F.lit(None).cast(rows.schema["held"].dataType).alias("held"), F.lit(None).cast("binary").alias("sizes"))
-    ends = rows.where("sizes is not null").select("chunk", "places", F.lit(None).cast("binary").alias("ids"), "held", "sizes")
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    buckets = max(shuffles, -(-size // BUCKET))
+    rows = explode(docs, buckets, text, id)
+    words = rows.where("bucket is not null").select("chunk", "bucket", "words").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    none = lambda c: F.lit(None).cast(rows.schema[c].dataType).alias(c)
+    coded = encode_words(words, path).select("chunk", "bucket", "ids", none("held"), none("sizes"), none("places"))
+    ends = rows.where("sizes is not null").select("chunk", "bucket", F.lit(None).cast("binary").alias("ids"), "held", "sizes", "places")
     labels, types = _more(spark, schema)
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words, end in places.runs(batches, "sizes"):
-            sizes = np.frombuffer(end.column("sizes")[0].as_py(), "<i4").astype(np.int64)
-            place = places.scattered(*places.flat(words.column("places")), int(sizes.sum()))
-            raw, starts = places.flat(words.column("ids"))
-            flat, starts = raw.view("<u4"), starts // 4
-            wide = np.diff(starts)[place]
+            sizes = places.loosened(end.column("sizes")[0].as_py()).astype(np.int64)
+            coded = [_ids(blob.as_py()) for blob in words.column("ids")]
+            counts = np.concatenate([c for c, _ in coded]) if coded else np.zeros(0, np.int64)
+            flat = np.concatenate([i for _, i in coded]) if coded else np.zeros(0, np.uint32)
+            place = places.scattered(*places.restored(end.column("places")[0].as_py()), int(sizes.sum()))
+            starts = np.concatenate([[0], counts.cumsum(dtype=np.int64)])
+            wide = counts.astype(np.int64)[place]
             ends = np.concatenate([[0], wide.cumsum()])
             ids = flat[np.repeat(starts[:-1][place] - ends[:-1], wide) + np.arange(ends[-1])]
             bounds = ends[np.concatenate([[0], sizes.cumsum()])]
@@ -177,8 +218,8 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", id: str
             listed = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.view(np.int32)))
             yield pa.record_batch([end.column("held").flatten(), listed, *(pa.array(c, t) for c, t in zip(made, types, strict=True))], ["doc_id", "ids", *labels])
 
-    spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chunks // 4)
-    met = coded.union(ends).repartition(spread, "chunk").sortWithinPartitions("chunk", F.col("sizes").isNotNull())
+    spread = max(shuffles, -(-size // (2 * CHUNK)))
+    met = coded.union(ends).repartition(spread, "chunk").sortWithinPartitions("chunk", F.col("sizes").isNotNull(), "bucket")
     kind = rows.schema["held"].dataType.elementType.simpleString()
     return met.mapInArrow(together, f"doc_id {kind}, ids array<int>" + (", " + schema if schema else ""))
 

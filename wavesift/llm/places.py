@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 #: Bits that one byte of a gap holds; its eighth bit says that another follows. Gaps have five bytes at most.
 BITS, BYTES = 7, 5
@@ -78,6 +79,41 @@ def flat(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return held[at[0] : at[-1]], at - at[0]
 
 
+def squeezed(values: np.ndarray) -> bytes:
+    """Whole numbers below 2 ** 32, compressed byte plane by byte plane."""
+    return zstandard.compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
+
+
+def loosened(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
+def packed(values: list[bytes]) -> bytes:
+    """Strings of bytes in one, compressed."""
+    sizes = np.fromiter(map(len, values), "<u4", len(values)).tobytes()
+    return zstandard.compress(len(values).to_bytes(4, "little") + sizes + b"".join(values), 3)
+
+
+def unpacked(blob: bytes) -> list[bytes]:
+    raw = zstandard.decompress(blob)
+    n = int.from_bytes(raw[:4], "little")
+    ends = (np.frombuffer(raw, "<u4", n, 4).cumsum(dtype=np.int64) + 4 + 4 * n).tolist()
+    return [raw[a:b] for a, b in zip([4 + 4 * n, *ends], ends, strict=False)]
+
+
+def stored(data: np.ndarray, starts: np.ndarray) -> bytes:
+    """What gathered() gives, compressed."""
+    sizes = squeezed(np.diff(starts))
+    return len(sizes).to_bytes(4, "little") + sizes + zstandard.compress(data.tobytes(), 3)
+
+
+def restored(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(blob[:4], "little")
+    sizes = loosened(blob[4 : 4 + n])
+    return np.frombuffer(zstandard.decompress(blob[4 + n :]), np.uint8), np.concatenate([[0], sizes.cumsum(dtype=np.int64)])
+
+
 def runs(batches: Iterator[pa.RecordBatch], mark: str) -> Iterator[tuple[pa.Table, pa.RecordBatch]]:
     """The rows before each row that has a mark, and that row."""
     held: list[pa.RecordBatch] = []
