@@ -85,14 +85,27 @@ def fit(cells: list[tuple[Row, int, int]], rounds: int = 24, depth: int = 3, shr
     return Boosted(trees)
 
 
-def threshold(model: Boosted, cells: list[tuple[Row, int, int]], precision: float) -> float:
-    """The lowest score from which held-out cells reach the precision; infinity if none does."""
+def few_errors(wrong: int, n: int, rate: float) -> float:
+    """Probability of at most so many errors among n at the given rate (binomial)."""
+    log = lambda k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(rate) + (n - k) * math.log(1 - rate)
+    return math.fsum(math.exp(log(k)) for k in range(wrong + 1))
+
+
+def threshold(model: Boosted, cells: list[tuple[Row, int, int]], precision: float, risk: float) -> float:
+    """The lowest score from which the precision is certain but for the risk; infinity if none is.
+
+    Scores are tried from the highest on, the first at which cells without an error would be enough: each must have
+    so few errors that at a lower precision the binomial probability of as few is at most the risk. The first score
+    that fails ends the search, so the risk holds for all of them together.
+    """
     scored = sorted(((model.score(row), neg, pos) for row, neg, pos in cells), reverse=True)
+    least = math.ceil(math.log(risk) / math.log(precision))
     best, n, p = math.inf, 0, 0
     for i, (s, neg, pos) in enumerate(scored):
         n, p = n + neg, p + pos
-        if i + 1 < len(scored) and scored[i + 1][0] == s:
+        if n + p < least or i + 1 < len(scored) and scored[i + 1][0] == s:
             continue
-        if p and p / (n + p) >= precision:
-            best = s
+        if few_errors(n, n + p, 1 - precision) > risk:
+            break
+        best = s
     return best
