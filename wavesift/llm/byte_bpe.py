@@ -3,7 +3,9 @@
 Documents are exploded into pre-tokens with their positions, gathered by word within chunks of documents: a chunk has
 one row with all positions and one with the words of each hash bucket. Words go to workers by bucket, where each
 distinct word is encoded once; their ids are joined back to the chunk, where documents are put together by position.
-So a common word travels once for each chunk and not with its positions, and buckets are alike in size. Decoding does
+So a common word travels once for each chunk and not with its positions, and buckets are alike in size. All rows of a
+chunk are dealt to one partition by a first exchange, which both the words' way out and the documents' assembly read,
+so that positions travel once. Decoding does
 the same with ids instead of words: they are exploded with their positions, joined with the token-byte table, and put
 together again.
 """
@@ -15,6 +17,7 @@ import zlib
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -29,7 +32,7 @@ from wavesift.llm.shared import documents, prepared, settle
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Characters of text in a chunk, beyond which the next document begins another, and documents in it at most.
-CHUNK, CHUNK_ROWS = 16_000_000, 50_000
+CHUNK, CHUNK_ROWS = 8_000_000, 20_000
 #: Ids that are decoded together.
 IDS = 2_000_000
 #: Bytes of text for each hash bucket of words, of which a worker holds one at a time.
@@ -66,7 +69,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[
 def _cut(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The distinct pre-tokens of a chunk, which of them stand where, and how many each text has."""
     words, spaced, first = _Numbered(), _Numbered(), _Numbered()
-    units, own, sizes = [], [], []  # a unit: a text's start, or a space and what follows up to the next
+    units = []  # a unit: a text's start, or a space and what follows up to the next
     for t in texts:
         found = bpe.pieces(t) if t else []
         if found is None:
@@ -77,13 +80,11 @@ def _cut(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
             units.append(np.concatenate([np.array(begun, np.int64), 2 * rest + 1]))
         else:
             units.append(np.zeros(0, np.int64))
-    # words of each unit, in the order: those at texts' starts, those after spaces
-    for string in [*first, *(" " + u for u in spaced)]:
-        own.append([words[w] for w in bpe.short_pre_tokens(string)])
-    own.extend([w] for w in range(len(words)))  # words that stand alone, of texts that are not cut at spaces
-    lengths = np.fromiter(map(len, own), np.int64, len(own))
+    alone = list(words)  # words that stand alone, of texts that are not cut at spaces
+    own = list(map(bpe.short_pre_tokens, chain(first, (" " + u for u in spaced))))
+    lengths = np.concatenate([np.fromiter(map(len, own), np.int64, len(own)), np.ones(len(alone), np.int64)])
     starts = np.concatenate([[0], lengths.cumsum()])
-    held = np.fromiter((w for u in own for w in u), np.int64, int(starts[-1]))
+    held = np.fromiter(map(words.__getitem__, chain(chain.from_iterable(own), alone)), np.int64, int(starts[-1]))
     alone = len(first) + len(spaced)
     sizes = np.fromiter(map(len, units), np.int64, len(units))
     u = np.concatenate(units) if units else np.zeros(0, np.int64)
@@ -114,7 +115,13 @@ def _by_bucket(words: list[str], buckets: int) -> tuple[list[tuple[int, list[byt
 def explode(docs: DataFrame, buckets: int, text: str = "text", id: str = "doc_id") -> DataFrame:
     """For each chunk a row (chunk, bucket, words) for each bucket of its words, and one row with the ids of its
     documents (held), their numbers of pre-tokens (sizes) and the places of each word, in order of bucket and word.
-    The table is settled, so that a chunk holds the same documents for all that read it."""
+
+    A chunk holds what follows each other in a partition, so a partition must give its rows in the same order when
+    a lost task is repeated. Rows that come out of a shuffle may not, and are settled first.
+    """
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
+        docs = settle(docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")), "documents")
+        text, id = "text", "doc_id"
     chosen = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
     kind = to_arrow_type(chosen.schema["doc_id"].dataType)
 
@@ -132,7 +139,12 @@ def explode(docs: DataFrame, buckets: int, text: str = "text", id: str = "doc_id
             where = places.stored(*places.gathered(rank[stream], len(words)))
             yield pa.record_batch([pa.array([at], pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), whole, pa.array([places.squeezed(sizes)], pa.binary()), pa.array([where], pa.binary())], labels)
 
-    return settle(chosen.mapInArrow(each, f"chunk long, bucket int, words binary, held array<{chosen.schema['doc_id'].dataType.simpleString()}>, sizes binary, places binary"), "pre-tokens")
+    return chosen.mapInArrow(each, f"chunk long, bucket int, words binary, held array<{chosen.schema['doc_id'].dataType.simpleString()}>, sizes binary, places binary")
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield b.select(["chunk", "bucket", "words"]).filter(b.column("bucket").is_valid())
 
 
 @lru_cache(maxsize=2)
@@ -194,34 +206,32 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", id: str
     path = path or public_tokenizers.path(RANKS)
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets = max(shuffles, -(-size // BUCKET))
-    rows = explode(docs, buckets, text, id)
-    words = rows.where("bucket is not null").select("chunk", "bucket", "words").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    none = lambda c: F.lit(None).cast(rows.schema[c].dataType).alias(c)
-    coded = encode_words(words, path).select("chunk", "bucket", "ids", none("held"), none("sizes"), none("places"))
-    ends = rows.where("sizes is not null").select("chunk", "bucket", F.lit(None).cast("binary").alias("ids"), "held", "sizes", "places")
+    buckets, chunks = max(shuffles, -(-size // BUCKET)), max(shuffles, -(-size // (2 * CHUNK)))
+    rows = explode(docs, buckets, text, id).repartition(chunks, "chunk")
+    words = rows.mapInArrow(_words, "chunk long, bucket int, words binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    coded = encode_words(words, path)
     labels, types = _more(spark, schema)
 
-    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for words, end in places.runs(batches, "sizes"):
-            sizes = places.loosened(end.column("sizes")[0].as_py()).astype(np.int64)
-            coded = [_ids(blob.as_py()) for blob in words.column("ids")]
-            counts = np.concatenate([c for c, _ in coded]) if coded else np.zeros(0, np.int64)
-            flat = np.concatenate([i for _, i in coded]) if coded else np.zeros(0, np.uint32)
-            place = places.scattered(*places.restored(end.column("places")[0].as_py()), int(sizes.sum()))
-            starts = np.concatenate([[0], counts.cumsum(dtype=np.int64)])
-            wide = counts.astype(np.int64)[place]
-            ends = np.concatenate([[0], wide.cumsum()])
-            ids = flat[np.repeat(starts[:-1][place] - ends[:-1], wide) + np.arange(ends[-1])]
-            bounds = ends[np.concatenate([[0], sizes.cumsum()])]
-            made = zip(*(row(ids[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)), strict=True) if labels else []
-            listed = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.view(np.int32)))
-            yield pa.record_batch([end.column("held").flatten(), listed, *(pa.array(c, t) for c, t in zip(made, types, strict=True))], ["doc_id", "ids", *labels])
-
-    spread = max(shuffles, -(-size // (2 * CHUNK)))
-    met = coded.union(ends).repartition(spread, "chunk").sortWithinPartitions("chunk", F.col("sizes").isNotNull(), "bucket")
+    def together(coded: pa.Table, rows: pa.Table) -> pa.Table:
+        end = rows.filter(rows.column("sizes").is_valid())
+        sizes = places.loosened(end.column("sizes")[0].as_py()).astype(np.int64)
+        own = [_ids(blob.as_py()) for blob in coded.sort_by("bucket").column("ids")]
+        counts = np.concatenate([np.zeros(0, np.int64), *(c for c, _ in own)]).astype(np.int64)
+        flat = np.concatenate([np.zeros(0, np.uint32), *(i for _, i in own)])
+        place = places.scattered(*places.restored(end.column("places")[0].as_py()), int(sizes.sum()))
+        starts = np.concatenate([[0], counts.cumsum()])
+        wide = counts[place]
+        ends = np.concatenate([[0], wide.cumsum()])
+        ids = flat[np.repeat(starts[:-1][place] - ends[:-1], wide) + np.arange(ends[-1])]
+        bounds = ends[np.concatenate([[0], sizes.cumsum()])]
+        made = zip(*(row(ids[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)), strict=True) if labels else []
+        listed = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.view(np.int32)))
+        names = end.column("held").combine_chunks()
+        names = names.chunk(0) if isinstance(names, pa.ChunkedArray) else names
+        return pa.table([names.flatten(), listed, *(pa.array(c, t) for c, t in zip(made, types, strict=True))], names=["doc_id", "ids", *labels])
+
     kind = rows.schema["held"].dataType.elementType.simpleString()
-    return met.mapInArrow(together, f"doc_id {kind}, ids array<int>" + (", " + schema if schema else ""))
+    return coded.groupBy("chunk").cogroup(rows.groupBy("chunk")).applyInArrow(together, f"doc_id {kind}, ids array<int>" + (", " + schema if schema else ""))
 
 
 def decode(rows: DataFrame, path: str | None = None, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",), row: Callable | None = None, schema: str = "bytes binary") -> DataFrame:
@@ -239,6 +249,7 @@ def decode(rows: DataFrame, path: str | None = None, ids: str = "ids", keep: tup
     kept = to_arrow_type(chosen.schema["held"].dataType)
     make = row or (lambda b: [b])
     labels, types = _more(spark, schema)
+    most = len(token_bytes(path))  # stands for all ids that the table lacks
 
     def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -247,8 +258,12 @@ def decode(rows: DataFrame, path: str | None = None, ids: str = "ids", keep: tup
             part = np.maximum(sizes, 0).cumsum() // IDS
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(sizes)]]).tolist()
             for a, e in zip(cuts[:-1], cuts[1:], strict=True):
-                found, codes = np.unique(lists.slice(a, e - a).flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+                whole = lists.slice(a, e - a).flatten().to_numpy(zero_copy_only=False)
+                found = np.flatnonzero(np.bincount(np.where((0 <= whole) & (whole <= most), whole, most)))
                 if len(found):
+                    number = np.zeros(most + 1, np.int64)
+                    number[found] = np.arange(len(found))
+                    codes = number[np.where((0 <= whole) & (whole <= most), whole, most)]
                     n = len(found)
                     yield pa.record_batch([pa.array(found, pa.int32()), places.binary(*places.gathered(codes, n)), pa.nulls(n, pa.list_(kept)), pa.nulls(n, pa.binary())], ["token", "places", "held", "sizes"])
                 held = pa.ListArray.from_arrays(pa.array([0, e - a], pa.int32()), pa.concat_arrays([b.column(0).slice(a, e - a)]).cast(kept))
@@ -272,12 +287,18 @@ def decode(rows: DataFrame, path: str | None = None, ids: str = "ids", keep: tup
     return exploded.join(F.broadcast(token_table(spark, path)), "token", "left").select("places", "bytes", "held", "sizes").mapInArrow(together, f"{fields}, {schema}")
 
 
+@lru_cache(maxsize=2)
+def token_names(path: str) -> list[bytes]:
+    """The decimal text of each id."""
+    return [str(n).encode() for n in range(len(token_bytes(path)))]
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the bytes that they decode to."""
     path = public_tokenizers.path(RANKS)
 
     def told(ids: np.ndarray) -> tuple:
-        return len(ids), hashlib.sha256(",".join(map(str, ids.tolist())).encode()).hexdigest()
+        return len(ids), hashlib.sha256(b",".join(map(token_names(path).__getitem__, ids.tolist()))).hexdigest()
 
     coded = encode(documents(spark, sf_dir), path, row=told, schema="n_tokens long, ids_sha256 string")
     return decode(coded, path, keep=("doc_id", "n_tokens", "ids_sha256"), row=lambda b: [hashlib.sha256(b).hexdigest()], schema="decoded_sha256 string")
