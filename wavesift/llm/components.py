@@ -8,20 +8,20 @@ from pyspark.sql import functions as F
 from wavesift.llm.shared import forget, settle
 
 
-def _large(edges: DataFrame) -> DataFrame:
-    """Each node's larger neighbours go to the smallest node it sees."""
+def _large(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each node's larger neighbours go to the smallest node it sees; and the table of these smallest nodes."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = settle(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
     met = both.where("b > a").join(least, "a")
-    return met.select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return met.select(F.col("b").alias("a"), F.col("m").alias("b")), least
 
 
-def _small(edges: DataFrame) -> DataFrame:
-    """Each node and its smaller neighbours go to the smallest of those."""
+def _small(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each node and its smaller neighbours go to the smallest of those; and the table of these smallest nodes."""
     down = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = settle(down.groupBy("a").agg(F.min("b").alias("m")), "least")
     met = down.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return met.union(least.select("a", F.col("m").alias("b")))
+    return met.union(least.select("a", F.col("m").alias("b"))), least
 
 
 def connect(edges: DataFrame) -> DataFrame:
@@ -40,10 +40,12 @@ def connect(edges: DataFrame) -> DataFrame:
         if mark == before or not mark[0]:
             break
         before = mark
-        larger = settle(_large(held), "large")
-        again = settle(_small(larger).where("a != b").distinct(), "edges")
-        forget(larger)
-        forget(held)
+        met, seen = _large(held)
+        larger = settle(met, "large")
+        met, below = _small(larger)
+        again = settle(met.where("a != b").distinct(), "edges")
+        for done in (held, seen, larger, below):
+            forget(done)
         held = again
     pairs = held.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return pairs.union(held.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()

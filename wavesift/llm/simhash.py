@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavesift.llm.components import connect
-from wavesift.llm.shared import documents, prepared, settle
+from wavesift.llm.shared import documents, forget, prepared, settle
 
 #: Words in a shingle, and seed of the shingle hash.
 SHINGLE, SEED = 3, 42
@@ -167,7 +167,8 @@ def _linked(groups: DataFrame, cap: int | None) -> DataFrame:
 
 def links(fps: DataFrame) -> DataFrame:
     """Edges (a, b) between distinct fingerprints, enough to connect all that are within DISTANCE of each other."""
-    first = settle(_linked(variants(fps), GROUP), "links")
+    spread = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = settle(_linked(variants(fps.repartition(spread)), GROUP), "links")
     rest = first.where("rest").select("kind", F.col("a").alias("key"), F.col("b").alias("fp"))
     edges = first.where("not rest").select("a", "b")
     if not rest.isEmpty():
@@ -184,7 +185,10 @@ def classified(docs: DataFrame, text: str = "text", id: str = "doc_id") -> tuple
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = settle(rooted, "rooted")
     least = settle(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "components")
-    return rows, settle(rooted.join(least, "root").select("fp", "root", "component_id"), "classes")
+    classes = settle(rooted.join(least, "root").select("fp", "root", "component_id"), "classes")
+    for done in (distinct, rooted, least):
+        forget(done)
+    return rows, classes
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -201,14 +205,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
 
 def one_of_each(docs: DataFrame, text: str = "text", id: str = "doc_id", classify=classified) -> DataFrame:
     """docs with one row of each near-duplicate group, as classify finds them: the smallest id (null last), of its
-    texts the one with the smallest hash, and of its repeated rows one. Columns are as before."""
+    texts the one with the smallest hash (a null text counts as empty), and of its repeated rows one. Columns are as
+    before, whatever their names; an empty table stays empty. Whole rows are not shuffled but for those that are kept
+    and share their id."""
     rows, classes = classify(docs, text, id)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
     kept = rows.join(classes, "fp").select("root", order.alias("o")).groupBy("root").agg(F.min("o").alias("o"))
     kept = settle(kept.select(F.col("o.doc_id").alias("keep_id"), F.col("o.h").alias("keep_h")), "kept")
-    hashed = docs.withColumn("keep_h_", F.xxhash64(text))
-    same = (hashed["keep_h_"] == kept["keep_h"]) & hashed[id].eqNullSafe(kept["keep_id"])
-    return hashed.join(kept, same, "left_semi").dropDuplicates([id, "keep_h_"]).select(*docs.columns)
+    forget(rows)
+    forget(classes)
+    own = docs.select(F.struct("*").alias("keep_row"), F.col(id).alias("keep_own"), F.xxhash64(text).alias("keep_hash"))
+    same = (own["keep_hash"] == kept["keep_h"]) & own["keep_own"].eqNullSafe(kept["keep_id"])
+    return own.join(kept, same, "left_semi").dropDuplicates(["keep_own", "keep_hash"]).select("keep_row.*")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import public_tokenizers
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +23,8 @@ TOKENIZER = "byte_bpe_50k.json"
 
 @lru_cache(maxsize=2)
 def whole_tokens(path: str) -> frozenset[str]:
-    """The vocabulary strings that are one pre-token and that the merges turn into one token, each of them tried."""
+    """The vocabulary strings that are one pre-token and that the merges turn into one token, each of them tried. The
+    driver proves them once for a vocabulary file, before any text is read, and sends them to the workers."""
     coder = bpe.load(path)
     proved = set()
     for token in coder.token_byte_values():
@@ -37,11 +40,10 @@ def whole_tokens(path: str) -> frozenset[str]:
 class Counter:
     """Tokens of whole texts: 1 for a proved pre-token, else the length of its merges, kept in a bounded memo."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, proved: frozenset[str]):
         coder = bpe.load(path)
         self.memo = bpe.Memo(lambda word: len(coder._encode_single_piece(word)))
-        self.proved = dict.fromkeys(whole_tokens(path), 1)
-        self.get = self.proved.get
+        self.get = dict.fromkeys(proved, 1).get
         special = coder.special_tokens_set
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.strings = tuple(special)
@@ -63,9 +65,15 @@ class Counter:
         return self.plain(text)
 
 
-@lru_cache(maxsize=2)
-def counter(path: str) -> Counter:
-    return Counter(path)
+_counters: dict[str, Counter] = {}
+
+
+def counter(path: str, digest: str, proved: Broadcast) -> Counter:
+    """One for each worker and vocabulary, kept across tasks."""
+    if digest not in _counters:
+        _counters.clear()
+        _counters[digest] = Counter(path, proved.value)
+    return _counters[digest]
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, text: str = "text", id: str = "doc_id", limit: int = LIMIT) -> DataFrame:
@@ -77,9 +85,12 @@ def count_tokens(docs: DataFrame, path: str | None = None, text: str = "text", i
     """
     prepared(docs.sparkSession)
     path = path or public_tokenizers.path(TOKENIZER)
+    with open(path, "rb") as f:
+        digest = hashlib.sha256(f.read()).hexdigest()
+    proved = docs.sparkSession.sparkContext.broadcast(whole_tokens(path))  # the vocabulary bounds it
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(path)
+        count = counter(path, digest, proved)
         for b in batches:
             texts = b.column(1).to_pylist()
             sizes = pa.array([len(t.encode("utf-8")) if t else 0 for t in texts], pa.int64())

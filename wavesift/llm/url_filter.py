@@ -46,7 +46,9 @@ def propagate(hosts: DataFrame, links: DataFrame, damping: float = DAMPING) -> D
     """host, trust and distrust from hosts (host, trusted, blocked: shares of seeds) and links (src, dst, links).
 
     trust is personalised PageRank along links from trusted seeds, distrust the same against them from blocked
-    seeds, each in units of one seed. Both spread in one pass: an edge for trust and a turned one for distrust.
+    seeds, each in units of what one seed's own mass is. The mass of hosts without links goes back to the seeds in
+    proportion, which multiplies all scores and that unit alike, so that in these units it need not be carried: a far
+    host that loses its links changes no other score. Both spread in one pass: an edge for trust and a turned one for distrust.
     Without links the seeds are the scores. A round adds the paths that are one link longer, so scores grow and all
     that later rounds can add, to any host, is damping / (1 - damping) of what this one added to all; rounds end once
     that is below SETTLED. Their number follows the logarithm of the number of seeds.
@@ -55,7 +57,8 @@ def propagate(hosts: DataFrame, links: DataFrame, damping: float = DAMPING) -> D
     if not links.isEmpty():
         ways = settle(links.select(F.explode(F.array(F.struct(F.lit(0).alias("way"), F.col("src").alias("from"), F.col("dst").alias("to"), "links"), F.struct(F.lit(1).alias("way"), F.col("dst").alias("from"), F.col("src").alias("to"), "links"))).alias("e")).select("e.*"), "ways")
         out = ways.groupBy("way", "from").agg(F.sum("links").alias("total"))
-        ways = settle(ways.join(out, ["way", "from"]).select("way", "from", "to", (F.col("links") / F.col("total")).alias("part")), "ways")
+        counted, ways = ways, settle(ways.join(out, ["way", "from"]).select("way", "from", "to", (F.col("links") / F.col("total")).alias("part")), "ways")
+        forget(counted)
         ends = ways.select(F.col("to").alias("host"), "way", F.lit(0.0).alias("seed"))
         seeds = settle(seeds.union(ends).groupBy("host", "way").agg(F.sum("seed").alias("seed")), "seeds")
         scores = settle(seeds.select("host", "way", ((1 - damping) * F.col("seed")).alias("score")), "scores")
