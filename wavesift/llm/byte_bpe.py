@@ -32,7 +32,7 @@ from wavesift.llm.shared import documents, prepared, settle
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Characters of text in a chunk, beyond which the next document begins another, and documents in it at most.
-CHUNK, CHUNK_ROWS = 8_000_000, 20_000
+CHUNK, CHUNK_ROWS = 4_000_000, 20_000
 #: Ids that are decoded together.
 IDS = 2_000_000
 #: Bytes of text for each hash bucket of words, of which a worker holds one at a time.
@@ -99,14 +99,12 @@ def _cut(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
 def _by_bucket(words: list[str], buckets: int) -> tuple[list[tuple[int, list[bytes]]], np.ndarray]:
     """Words by hash bucket, sorted in each, and each word's place among all of them in this order."""
     own = [w.encode("utf-8") for w in words]
-    keys = [(zlib.crc32(w) % buckets, w) for w in own]
-    order = sorted(range(len(own)), key=keys.__getitem__)
-    out: list[tuple[int, list[bytes]]] = []
-    for n in order:
-        bucket, w = keys[n]
-        if not out or out[-1][0] != bucket:
-            out.append((bucket, []))
-        out[-1][1].append(w)
+    order = np.array(sorted(range(len(own)), key=own.__getitem__), np.int64)
+    keys = np.fromiter(map(zlib.crc32, own), np.int64, len(own))[order] % buckets
+    by = np.argsort(keys, kind="stable")
+    order, keys = order[by], keys[by]
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]]).tolist() if len(keys) else [0]
+    out = [(int(keys[a]), [own[n] for n in order[a:b].tolist()]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     rank = np.empty(len(own), np.int64)
     rank[order] = np.arange(len(own))
     return out, rank
@@ -125,19 +123,21 @@ def explode(docs: DataFrame, buckets: int, text: str = "text", id: str = "doc_id
     chosen = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"))
     kind = to_arrow_type(chosen.schema["doc_id"].dataType)
 
+    labels = ["chunk", "bucket", "words", "held", "sizes", "places"]
+
+    def told(at: int, names: pa.Array, texts: list[str | None]) -> list[pa.RecordBatch]:
+        words, stream, sizes = _cut(texts)
+        held, rank = _by_bucket(words, buckets)
+        rows = len(held)
+        blobs = [places.packed(own) for _, own in held]
+        out = [pa.record_batch([pa.array([at] * rows, pa.int64()), pa.array([x for x, _ in held], pa.int32()), pa.array(blobs, pa.binary()), pa.nulls(rows, pa.list_(kind)), pa.nulls(rows, pa.binary()), pa.nulls(rows, pa.binary())], labels)] if rows else []
+        whole = pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names.cast(kind))
+        where = places.stored(*places.gathered(rank[stream], len(words)))
+        return [*out, pa.record_batch([pa.array([at], pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), whole, pa.array([places.squeezed(sizes)], pa.binary()), pa.array([where], pa.binary())], labels)]
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labels = ["chunk", "bucket", "words", "held", "sizes", "places"]
         for n, (names, texts) in enumerate(_chunks(batches)):
-            at = (TaskContext.get().partitionId() << 32) + n
-            words, stream, sizes = _cut(texts)
-            held, rank = _by_bucket(words, buckets)
-            rows = len(held)
-            if rows:
-                blobs = [places.packed(own) for _, own in held]
-                yield pa.record_batch([pa.array([at] * rows, pa.int64()), pa.array([x for x, _ in held], pa.int32()), pa.array(blobs, pa.binary()), pa.nulls(rows, pa.list_(kind)), pa.nulls(rows, pa.binary()), pa.nulls(rows, pa.binary())], labels)
-            whole = pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names.cast(kind))
-            where = places.stored(*places.gathered(rank[stream], len(words)))
-            yield pa.record_batch([pa.array([at], pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), whole, pa.array([places.squeezed(sizes)], pa.binary()), pa.array([where], pa.binary())], labels)
+            yield from told((TaskContext.get().partitionId() << 32) + n, names, texts)
 
     return chosen.mapInArrow(each, f"chunk long, bucket int, words binary, held array<{chosen.schema['doc_id'].dataType.simpleString()}>, sizes binary, places binary")
 
