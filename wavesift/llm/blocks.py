@@ -1,9 +1,15 @@
 """Token ids in compressed binary blocks: adaptive context mixing drives a range coder.
 
 A block is independent of all others. Its ids lie in lanes, which the coder takes in lockstep: at each step every
-lane codes one id with the statistics that all lanes have gathered so far. Predictions come from order 2 (the id
-that followed the last two), order 1 (that followed the last one) and order 0 (adaptive frequencies); how far the
-first two are trusted is mixed by adaptive counts of how often they were right at their present confidence.
+lane codes one id with the statistics that all lanes have gathered so far. Predictions of three orders are mixed:
+
+- order 2, what followed the last two ids: one id for each context, weighted by how often such a prediction was right
+  at its present confidence, and used where it is confident;
+- order 1, what followed the last id: all ids that did, by their counts, weighted by how often an id was among them in
+  contexts of their kind. The counts are taken anew from all ids so far whenever these have doubled;
+- order 0: adaptive frequencies of the ids that the others did not foresee.
+
+An id that order 2 gave in vain is taken out of order 1's ids.
 """
 
 from __future__ import annotations
@@ -22,31 +28,46 @@ from wavesift.llm import bpe
 from wavesift.llm.shared import documents, prepared, settle
 
 TOKENIZER, END = "byte_bpe_50k.json", 0
-MAGIC, VERSION = b"CMRC", 1
-#: Ids after which a block ends with its document, and lanes of a full block.
-BLOCK_IDS, LANES = 1 << 21, 8_192
-#: Bits of the order-2 table, of a probability, and of the order-0 frequencies' sum; steps between their renewals.
-TABLE_BITS, UNIT, TOTAL_BITS, RENEW = 20, 1 << 16, 24, 8
-CONFIDENCE = 4
+MAGIC, VERSION = b"CMRC", 2
+#: Ids after which a block ends with its document, lanes of a full block, and ids that a lane has at least.
+BLOCK_IDS, LANES, LANE_IDS = 1 << 21, 8_192, 256
+#: Bits of the order-2 table, of a probability of order 2, of order 1 and of order 0; steps between the renewals of the
+#: latter's frequencies.
+TABLE_BITS, UNIT_BITS, NEXT_BITS, TOTAL_BITS, RENEW = 20, 16, 20, 24, 8
+#: Levels of confidence in an order-2 prediction, and the level from which it is used.
+CONFIDENCE, SURE = 8, 2
+#: Kinds of order-1 contexts, by how many ids follow them anew; one step in so many is watched for the weights of kinds.
+KINDS, WATCHED = 12, 4
 
 _u = np.uint64
+_NEXT = _u(1 << NEXT_BITS)
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The last place of each wanted value among sorted keys that is not beyond it. They are looked up in order, which
+    keeps to the cache."""
+    bits = max(1, len(wanted).bit_length())
+    order = np.sort(wanted << bits | np.arange(len(wanted)))
+    found = np.empty(len(wanted), np.int64)
+    found[order & ((1 << bits) - 1)] = np.searchsorted(keys, order >> bits, "right") - 1
+    return found
 
 
 class Model:
     """What encoder and decoder know alike before each step.
 
-    A context's cell holds the id it predicts, above two bits that count how sure it is.
+    An order-2 context's cell holds the id it predicts, above three bits that count how sure it is.
     """
 
     def __init__(self, ids: int, lanes: int):
         self.ids = ids
         self.second = np.zeros(1 << TABLE_BITS, np.int32)
-        self.first = np.zeros(ids, np.int32)
-        self.right = np.full((CONFIDENCE * CONFIDENCE, 3), 1.0) / np.array([3.0, 3.0, 1.5])
+        self.right = np.stack([np.arange(1.0, CONFIDENCE + 1), np.full(CONFIDENCE, CONFIDENCE + 1.0)])
         self.seen = np.zeros(ids, np.int64)
-        self.c1 = np.zeros(lanes, np.int32)
-        self.c2 = np.zeros(lanes, np.int32)
-        self.steps = 0
+        self.c1 = np.zeros(lanes, np.int64)
+        self.far = np.zeros(lanes, np.uint32)  # the id before c1
+        self.steps, self.counted = 0, 0
+        self.fresh = np.stack([0.5 ** np.arange(KINDS), np.ones(KINDS)])  # ids that followed anew, and all, by kind
         self.renew()
 
     def renew(self) -> None:
@@ -54,54 +75,89 @@ class Model:
         free = (1 << TOTAL_BITS) - self.ids
         total = int(self.seen.sum())
         freq = 1 + (self.seen * free // total if total else np.zeros(self.ids, np.int64))
-        self.cum = np.concatenate([[0], freq.cumsum()]).astype(np.int32)
-        self.freq = freq.astype(np.int32)
+        self.cum = np.concatenate([[0], freq.cumsum()])
+        self.low, self.freq = self.cum.astype(_u), freq.astype(_u)
+
+    def count(self, grid: np.ndarray) -> None:
+        """Order-1 spans from the ids so far (a row for each step): for each pair of ids its start and size within
+        2 ** NEXT_BITS, and for each id where the spans of what follows it end."""
+        before = np.concatenate([np.zeros((1, grid.shape[1]), np.int64), grid[:-1]])
+        pairs = np.sort((before << NEXT_BITS | grid).ravel())
+        first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+        self.keys, n = pairs[first], np.diff(np.concatenate([first, [len(pairs)]]))
+        head = self.keys >> NEXT_BITS
+        at = np.flatnonzero(np.concatenate([[True], head[1:] != head[:-1]]))
+        kinds = np.diff(np.concatenate([at, [len(head)]]))
+        total = np.add.reduceat(n, at)
+        kind = np.minimum(np.searchsorted(2 ** np.arange(KINDS), total // kinds, "right") - 1, KINDS - 1)
+        fresh = (self.fresh[0] / self.fresh[1])[kind]
+        room = ((1 << NEXT_BITS) - 1 - kinds) * (1 - fresh)
+        size = 1 + (np.repeat(room / total, kinds) * n).astype(np.int64)
+        ends = size.cumsum()
+        start = ends - size - np.repeat((ends - size)[at], kinds)
+        self.span = (head << NEXT_BITS) + start
+        self.start, self.size = start.astype(_u), size.astype(_u)
+        self.known, self.kind = np.zeros(self.ids, _u), np.full(self.ids, -1)
+        self.known[head[at]] = np.add.reduceat(size, at)
+        self.kind[head[at]] = kind
+        self.counted = self.steps
 
     def predict(self) -> None:
-        """The cells of both contexts, and the bounds of the classes (0: order 2 is right; 1: order 1 is; 2: neither)."""
-        mixed = (self.c2.view(np.uint32) * np.uint32(50_287) + self.c1.view(np.uint32)) * np.uint32(2_654_435_761)
-        self.slot = (mixed >> np.uint32(32 - TABLE_BITS)).astype(np.intp)
-        self.e2, self.e1 = self.second[self.slot], self.first[self.c1]
-        self.p2, self.p1 = self.e2 >> 2, self.e1 >> 2
-        self.s2, self.s1 = self.e2 & (CONFIDENCE - 1), self.e1 & (CONFIDENCE - 1)
-        self.cell = (self.s2 << 2) + self.s1
-        share = self.right[:, :2] / self.right.sum(axis=1, keepdims=True)
-        self.ends = np.zeros((CONFIDENCE * CONFIDENCE, 4), np.int64)
-        self.ends[:, 1:3] = ((share * (UNIT - 3)).astype(np.int64) + 1).cumsum(axis=1)
-        self.ends[:, 3] = UNIT
-
-    def classes(self, s: np.ndarray) -> np.ndarray:
-        not2, not1 = (s != self.p2).view(np.uint8), (s != self.p1).view(np.uint8)
-        return not2 + (not2 & not1)
-
-    def spans(self, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and width of each lane's class, out of UNIT."""
-        self.pair = self.cell * 3 + kind
-        ends = self.ends.astype(_u)
-        return ends[:, :3].ravel()[self.pair], (ends[:, 1:] - ends[:, :3]).ravel()[self.pair]
-
-    @staticmethod
-    def _learned(cell: np.ndarray, sure: np.ndarray, right: np.ndarray, s: np.ndarray) -> np.ndarray:
-        """Surer by one where it was right, half as sure where it was not, another id where it was not sure at all."""
-        more = cell + (sure < CONFIDENCE - 1)
-        return np.where(right, more, np.where(sure > 0, cell - ((sure + 1) >> 1), s << 2))
-
-    def update(self, s: np.ndarray, missed: np.ndarray) -> None:
-        self.right += np.bincount(self.pair, minlength=self.right.size).reshape(self.right.shape)
-        self.second[self.slot] = self._learned(self.e2, self.s2, s == self.p2, s)
-        self.first[self.c1] = self._learned(self.e1, self.s1, s == self.p1, s)
+        """The order-2 cells, which lanes are sure of them, and the bounds of such a prediction by confidence."""
+        near = self.c1.astype(np.uint32)
+        mixed = (self.far * np.uint32(50_287) + near) * np.uint32(2_654_435_761)
+        self.slot, self.far = (mixed >> np.uint32(32 - TABLE_BITS)).astype(np.intp), near
+        self.cell = self.second[self.slot]
+        self.guess, self.level = self.cell >> 3, self.cell & (CONFIDENCE - 1)
+        self.sure = np.flatnonzero(self.level >= SURE)
+        unit = 1 << UNIT_BITS
+        self.bound = np.clip((self.right[0] / self.right[1] * unit).astype(np.int64), 1, unit - 1)
+
+    def flags(self, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size, out of 2 ** UNIT_BITS, of what the sure lanes' predictions turn out to be."""
+        bound = self.bound[self.level[self.sure]]
+        return np.where(hit, 0, bound), np.where(hit, bound, (1 << UNIT_BITS) - bound)
+
+    def without(self, vain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of the order-1 spans of predictions that were in vain, which are taken out; a prediction
+        without one has none."""
+        wanted = self.c1[vain] << NEXT_BITS | self.guess[vain]
+        k = _find(self.keys, wanted)
+        there = self.keys[k] == wanted
+        return np.where(there, self.start[k], _NEXT), np.where(there, self.size[k], _u(0))
+
+    def next_spans(self, k: np.ndarray, there: np.ndarray, hit: np.ndarray, vain: np.ndarray, gone: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of each lane's order-1 outcome: the span k if there is one, else what the known ids leave;
+        all for lanes that order 2 foresaw."""
+        known = self.known[self.c1]
+        start, size = np.where(there, self.start[k], known), np.where(there, self.size[k], _NEXT - known)
+        start[hit], size[hit] = 0, _NEXT
+        start[vain] -= width * (start[vain] > gone)
+        return start, size
+
+    def update(self, s: np.ndarray, hit: np.ndarray, missed: np.ndarray) -> None:
+        """s: the ids; hit: of the sure lanes; missed: lanes whose ids neither order 2 nor order 1 foresaw."""
+        level = self.level[self.sure]
+        self.right[0] += np.bincount(level[hit], minlength=CONFIDENCE)
+        self.right[1] += np.bincount(level, minlength=CONFIDENCE)
+        lower = np.where(self.level > 0, self.cell - ((self.level + 1) >> 1), s.astype(np.int32) << 3)
+        self.second[self.slot] = np.where(s == self.guess, self.cell + (self.level < CONFIDENCE - 1), lower)
+        if self.counted and self.steps % WATCHED == 0:
+            self.fresh[0] += np.bincount(self.kind[self.c1[missed]] + 1, minlength=KINDS + 1)[1:]
+            self.fresh[1] += np.bincount(self.kind[self.c1] + 1, minlength=KINDS + 1)[1:] - np.bincount(self.kind[self.c1[self.sure[hit]]] + 1, minlength=KINDS + 1)[1:]
         np.add.at(self.seen, s[missed], 1)
-        self.c2, self.c1 = self.c1, s
+        self.c1 = s
         self.steps += 1
         if self.steps % RENEW == 0:
             self.renew()
 
+    def due(self) -> bool:
+        """Whether order 1 is to be counted anew: after 8, 16, 32 steps and so on."""
+        return self.steps >= 8 and self.steps & self.steps - 1 == 0
+
     def ids_at(self, v: np.ndarray) -> np.ndarray:
-        """The ids whose order-0 spans hold the values v. They are looked up in order, which keeps to the cache."""
-        sorted_ = np.sort(v << 32 | np.arange(len(v)))
-        found = np.empty(len(v), np.int32)
-        found[sorted_ & 0xFFFFFFFF] = np.searchsorted(self.cum, (sorted_ >> 32).astype(np.int32), "right") - 1
-        return np.minimum(found, self.ids - 1)
+        """The ids whose order-0 spans hold the values v."""
+        return np.minimum(_find(self.cum, v), self.ids - 1)
 
 
 class Writer:
@@ -112,10 +168,17 @@ class Writer:
         self.lane: list[np.ndarray] = []
         self.word: list[np.ndarray] = []
 
-    def put(self, at: np.ndarray | slice, start: np.ndarray, size: np.ndarray, bits: int) -> None:
-        span = self.range[at] >> _u(bits)
+    def spans(self, bits: int, vain: np.ndarray, width: np.ndarray) -> np.ndarray:
+        """What one part of a lane's total is: of 2 ** bits, less a width for some lanes."""
+        span = self.range >> _u(bits)
+        span[vain] = self.range[vain] // (_u(1 << bits) - width)
+        return span
+
+    def put(self, at: np.ndarray | slice, start: np.ndarray, size: np.ndarray, span: np.ndarray | int) -> None:
+        """Outcomes by their start and size, in parts that span gives or, as a whole number, of 2 ** span."""
+        span = self.range[at] >> _u(span) if isinstance(span, int) else span
         low = self.low[at] + span * start.astype(_u, copy=False)
-        span *= size.astype(_u, copy=False)
+        span = span * size.astype(_u, copy=False)
         open_ = np.flatnonzero(span <= _LEAST)
         while len(open_):
             own, width = _settled(low[open_], span[open_])
@@ -155,9 +218,12 @@ class Reader:
             self.code = (self.code << _u(16)) | self.words[self.at + n]
         self.at += 4
 
-    def look(self, at: np.ndarray, bits: int) -> np.ndarray:
-        self.span = self.range[at] >> _u(bits)
-        return np.minimum((self.code[at] - self.low[at]) // self.span, _u((1 << bits) - 1)).astype(np.int64)
+    spans = Writer.spans
+
+    def look(self, at: np.ndarray | slice, span: np.ndarray | int, most: int) -> np.ndarray:
+        """The value, at most so great, that lies next in each lane, in parts as for put()."""
+        self.span = self.range[at] >> _u(span) if isinstance(span, int) else span
+        return np.minimum((self.code[at] - self.low[at]) // self.span, _u(most))
 
     def take(self, at: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
         low = self.low[at] + self.span * start.astype(_u, copy=False)
@@ -174,7 +240,16 @@ class Reader:
 
 
 def _lanes(n: int) -> int:
-    return max(1, min(LANES, n // 64))
+    return max(1, min(LANES, n // LANE_IDS))
+
+
+def _ahead(model: Model, grid: np.ndarray, step: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each step from this one to the next count, the place of each lane's pair of ids among those counted, and
+    whether it is there."""
+    end = min(len(grid), 2 * step)
+    wanted = grid[step - 1 : end - 1] << NEXT_BITS | grid[step:end]
+    k = _find(model.keys, wanted.ravel()).reshape(wanted.shape)
+    yield from zip(k, model.keys[k] == wanted, strict=True)
 
 
 def compress(ids: np.ndarray, vocabulary: int) -> bytes:
@@ -183,19 +258,31 @@ def compress(ids: np.ndarray, vocabulary: int) -> bytes:
     if not n:
         return b""
     steps = -(-n // lanes)
-    grid = np.zeros(lanes * steps, np.int32)
+    grid = np.zeros(lanes * steps, np.int64)
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)  # a row for each step
     model, out, every = Model(vocabulary, lanes), Writer(lanes), slice(None)
-    for s in grid:
+    for step, s in enumerate(grid):
+        if model.due():
+            model.count(grid[:step])
+            ahead = _ahead(model, grid, step)  # where the ids up to the next count lie among those counted
         model.predict()
-        kind = model.classes(s)
-        out.put(every, *model.spans(kind), 16)
-        missed = np.flatnonzero(kind == 2)
-        if len(missed):
-            own = s[missed]
-            out.put(missed, model.cum[own], model.freq[own], TOTAL_BITS)
-        model.update(s, missed)
+        sure = model.sure
+        hit = s[sure] == model.guess[sure]
+        out.put(sure, *model.flags(hit), UNIT_BITS)
+        got, vain = sure[hit], sure[~hit]
+        if model.counted:
+            k, there = next(ahead)
+            gone, width = model.without(vain)
+            out.put(every, *model.next_spans(k, there, got, vain, gone, width), out.spans(NEXT_BITS, vain, width))
+            there[got] = True
+        else:
+            there = np.zeros(lanes, bool)
+            there[got] = True
+        missed = np.flatnonzero(~there)
+        own = s[missed]
+        out.put(missed, model.low[own], model.freq[own], TOTAL_BITS)
+        model.update(s, hit, missed)
     counts, words = out.finish()
     return counts.astype("<u4").tobytes() + words.tobytes()
 
@@ -206,21 +293,35 @@ def decompress(body: bytes, n: int, vocabulary: int) -> np.ndarray:
         return np.zeros(0, "<u4")
     counts = np.frombuffer(body, "<u4", lanes).astype(np.int64)
     steps = -(-n // lanes)
-    model, read, every = Model(vocabulary, lanes), Reader(counts, np.frombuffer(body, "<u2", -1, 4 * lanes)), slice(None)
-    grid = np.zeros((steps, lanes), np.int32)
+    model, read = Model(vocabulary, lanes), Reader(counts, np.frombuffer(body, "<u2", -1, 4 * lanes))
+    grid, every = np.zeros((steps, lanes), np.int64), slice(None)
     for step in range(steps):
+        if model.due():
+            model.count(grid[:step])
         model.predict()
-        v = read.look(every, 16)
-        kind = (v >= model.ends[:, 1][model.cell]).view(np.uint8) + (v >= model.ends[:, 2][model.cell])
-        read.take(every, *model.spans(kind))
-        s = np.where(kind == 0, model.p2, model.p1)
-        missed = np.flatnonzero(kind == 2)
-        if len(missed):
-            own = model.ids_at(read.look(missed, TOTAL_BITS))
-            read.take(missed, model.cum[own], model.freq[own])
-            s[missed] = own
-        model.update(s, missed)
-        grid[step] = s
+        sure, s = model.sure, grid[step]
+        hit = read.look(sure, UNIT_BITS, (1 << UNIT_BITS) - 1).view(np.int64) < model.bound[model.level[sure]]
+        read.take(sure, *model.flags(hit))
+        got, vain = sure[hit], sure[~hit]
+        if model.counted:
+            gone, width = model.without(vain)
+            v = read.look(every, read.spans(NEXT_BITS, vain, width), (1 << NEXT_BITS) - 1)
+            v[vain] = np.minimum(v[vain], _NEXT - _u(1) - width)
+            v[vain] += width * (v[vain] >= gone)
+            there = v < model.known[model.c1]
+            k = _find(model.span, model.c1 << NEXT_BITS | v.view(np.int64))
+            read.take(every, *model.next_spans(k, there, got, vain, gone, width))
+            np.copyto(s, model.keys[k] & ((1 << NEXT_BITS) - 1), where=there)
+            there[got] = True
+        else:
+            there = np.zeros(lanes, bool)
+            there[got] = True
+        s[got] = model.guess[got]
+        missed = np.flatnonzero(~there)
+        own = model.ids_at(read.look(missed, TOTAL_BITS, (1 << TOTAL_BITS) - 1).view(np.int64))
+        read.take(missed, model.low[own], model.freq[own])
+        s[missed] = own
+        model.update(s, hit, missed)
     return np.ascontiguousarray(grid.T).reshape(-1)[:n].astype("<u4")
 
 
@@ -245,12 +346,14 @@ def read_block(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(held, "<u4", rows).astype(np.int64), ids
 
 
-def write_ids(docs: DataFrame, path: str | None = None, text: str = "text", id: str = "doc_id", end: int = END) -> DataFrame:
-    """Blocks of the ids of all rows in ascending order of id (null first; ties by text), as a settled table.
+def write_ids(docs: DataFrame, path: str | None = None, text: str = "text", id: str = "doc_id", end: int = END, folder: str | None = None) -> DataFrame:
+    """Blocks of the ids of all rows in ascending order of id (null first; ties by text), written to the folder (which
+    must not exist) or, without one, to the shared folder, and read again.
 
     Columns: shard and block (their order is the order of the file), doc_ids, n_ids, payload. A shard is a range of
     ids; Spark's writer commits each shard's file whole or not at all. A null text counts as empty and is its end
-    id alone. A document is never parted, so a very long one makes a long block.
+    id alone; repeated rows are written each; an empty table makes no blocks; other columns are not read, so they
+    may have any names. A document is never parted, so a very long one makes a long block.
     """
     prepared(docs.sparkSession)
     path = path or public_tokenizers.path(TOKENIZER)
@@ -283,12 +386,14 @@ def write_ids(docs: DataFrame, path: str | None = None, text: str = "text", id:
             yield block()
 
     ordered = chosen.repartitionByRange(F.col("doc_id").asc(), F.xxhash64("text").asc()).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-    return settle(ordered.mapInArrow(each, f"shard int, block int, doc_ids array<{kind}>, n_ids long, payload binary"), "token-blocks")
+    return settle(ordered.mapInArrow(each, f"shard int, block int, doc_ids array<{kind}>, n_ids long, payload binary"), "token-blocks", folder)
 
 
 def read_ids(blocks: DataFrame, row=None, schema: str = "ids array<long>") -> DataFrame:
-    """doc_id, start, n_tokens and, by default, ids of every document in the blocks; row(ids) can make other
-    columns. start is the number of ids before the document in the whole file."""
+    """doc_id, start, n_tokens and, by default, ids of every document in the blocks, which write_ids() gave or Spark
+    read from its folder; row(ids) can make other columns. start is the number of ids before the document in the
+    whole file. No blocks give no rows, and each written row returns once, repeated ones too; blocks of another
+    version, and damaged ones, are an error."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = prepared(blocks.sparkSession)

@@ -30,11 +30,11 @@ def shared_folder(spark: SparkSession) -> str:
     return _own[application]
 
 
-def settle(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: a lost executor then costs no recomputation
-    of what lies before it. The path is in the result's attribute settled_at."""
+def settle(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
+    """Write df as a table in the folder, by default a new one in the shared folder, and read it again: a lost
+    executor then costs no recomputation of what lies before it. The path is in the result's attribute settled_at."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = folder or f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     again = spark.read.schema(df.schema).parquet(path)
     again.settled_at = path
