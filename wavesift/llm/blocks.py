@@ -68,6 +68,7 @@ class Model:
         self.far = np.zeros(lanes, np.uint32)  # the id before c1
         self.steps, self.counted = 0, 0
         self.fresh = np.stack([0.5 ** np.arange(KINDS), np.ones(KINDS)])  # ids that followed anew, and all, by kind
+        self.keys, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.renew()
 
     def renew(self) -> None:
@@ -80,11 +81,22 @@ class Model:
 
     def count(self, grid: np.ndarray) -> None:
         """Order-1 spans from the ids so far (a row for each step): for each pair of ids its start and size within
-        2 ** NEXT_BITS, and for each id where the spans of what follows it end."""
-        before = np.concatenate([np.zeros((1, grid.shape[1]), np.int64), grid[:-1]])
-        pairs = np.sort((before << NEXT_BITS | grid).ravel())
+        2 ** NEXT_BITS, and for each id where the spans of what follows it end. Pairs since the last count are added
+        to those it had."""
+        new = grid[self.counted :]
+        before = np.concatenate([grid[self.counted - 1 : self.counted] if self.counted else np.zeros((1, grid.shape[1]), np.int64), new[:-1]])
+        narrow = self.ids <= 1 << 16
+        pairs = np.sort((before.astype(np.uint32) << np.uint32(16) | new.astype(np.uint32)).ravel() if narrow else (before << NEXT_BITS | new).ravel())
         first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
-        self.keys, n = pairs[first], np.diff(np.concatenate([first, [len(pairs)]]))
+        keys, n = pairs[first].astype(np.int64), np.diff(np.concatenate([first, [len(pairs)]]))
+        if narrow:
+            keys = keys >> 16 << NEXT_BITS | keys & 0xFFFF
+        keys, n = np.concatenate([self.keys, keys]), np.concatenate([self.times, n])
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        self.keys, self.times = keys[first], np.add.reduceat(n, first)
+        n = self.times
         head = self.keys >> NEXT_BITS
         at = np.flatnonzero(np.concatenate([[True], head[1:] != head[:-1]]))
         kinds = np.diff(np.concatenate([at, [len(head)]]))
