@@ -87,10 +87,45 @@ def requests(docs: DataFrame, id: str, context: Column, choices: Column | None =
     return own.select(id, "context", F.posexplode("all").alias("choice", "target"))
 
 
-def scores_of(questions: Column, index: Column, key: str, place: str = "question_index") -> Column:
-    """key of the first entry whose place is index and which has that key, else of the entry at that position."""
+def scores_of(questions: Column, index: Column, key: str, place: str = "question_index", position: Column | None = None) -> Column:
+    """key of the first entry whose place is index and which has that key, else of the entry at the position, which
+    is the index unless it is given."""
     own = F.filter(questions, lambda q: (q[place] == index) & q[key].isNotNull())
-    return F.coalesce(F.get(own, F.lit(0))[key], F.when(index >= 0, F.get(questions, index))[key])
+    position = index if position is None else position
+    return F.coalesce(F.get(own, F.lit(0))[key], F.when(position >= 0, F.get(questions, position.cast("int")))[key])
+
+
+def accessor(spec: int | str | Callable[[], Column], columns: list[str]) -> Column:
+    """What a task's setting says of a document: a number, a field by its name, a template, or a function's column."""
+    if callable(spec):
+        return spec()
+    if isinstance(spec, int):
+        return F.lit(spec)
+    return F.col(spec) if spec in columns else rendered(spec, *columns)
+
+
+def number_in(text: Column) -> Column:
+    """A text of digits as a number; null for another."""
+    return F.when(text.rlike("^[0-9]+$"), text.try_cast("long"))
+
+
+def list_in(text: Column) -> Column:
+    """A text that is a list literal as an array of texts; null for another."""
+    return F.when(text.rlike(r"(?s)^\[.*\]$"), F.from_json(text, "array<string>", {"allowSingleQuotes": "true"}))
+
+
+def to_frame(seconds: Column, fps: Column) -> Column:
+    return (seconds * fps).cast("long")
+
+
+def subtitles_at(subtitles: Column, fps: Column, total: Column, n: Column) -> Column:
+    """Texts of the subtitles, an array of (start_s, end_s, text), in which one of n frames spread over a video of total
+    frames lies (n of -1: all frames), in their order, without marks."""
+    held = F.transform(subtitles, lambda s: F.struct(to_frame(s["start_s"], fps).alias("a"), to_frame(s["end_s"], fps).alias("b"), s["text"].alias("text")))
+    n = F.when(n == -1, total).otherwise(n)
+    step = (total - 1) / F.greatest(n - 1, F.lit(1))
+    places = F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1), lambda i: F.when((i == n - 1) & (n > 1), total - 1).otherwise(F.floor(i * step)).cast("long"))
+    return font_texts(F.transform(F.filter(held, lambda s: F.exists(places, lambda p: (p >= s["a"]) & (p < s["b"]))), lambda s: s["text"]))
 
 
 class Hooks:
@@ -112,3 +147,26 @@ class Hooks:
         if found is None:
             raise KeyError(f"{name}: known are {', '.join(sorted(self.known))}")
         return found
+
+
+#: What is done with a document's responses; ensembles of them by name.
+FILTERS = Hooks()
+
+
+@FILTERS.add("take_first")
+def take_first(responses: Column) -> Column:
+    return F.get(responses, F.lit(0))
+
+
+@FILTERS.add("majority")
+def majority(responses: Column) -> Column:
+    """The response that is there most often, the first of equals."""
+    counted = F.transform(F.array_distinct(responses), lambda r: F.struct(F.size(F.filter(responses, lambda x: x == r)).alias("n"), (-F.array_position(responses, r)).alias("at"), r.alias("r")))
+    return F.array_max(counted)["r"]
+
+
+def ensemble(responses: Column, names: tuple[str, ...] = ("take_first",)) -> Column:
+    """The filters named, one after the other."""
+    for n in names:
+        responses = FILTERS[n](responses)
+    return responses

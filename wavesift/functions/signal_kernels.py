@@ -107,15 +107,16 @@ def maxima(v: np.ndarray) -> np.ndarray:
     return (starts[top] + ends[top]) // 2
 
 
-def spaced(v: np.ndarray, places: np.ndarray, distance: int) -> np.ndarray:
-    """Places that stay when the highest removes all nearer than distance, and so on; of equals the later wins."""
+def spaced(heights: np.ndarray, places: np.ndarray, distance: int) -> np.ndarray:
+    """Which of the maxima at places stay when the highest removes all nearer than distance, and so on; of equals the
+    later wins."""
     kept = np.ones(len(places), bool)
-    for i in sorted(range(len(places)), key=lambda i: (v[places[i]], places[i]), reverse=True):
+    for i in np.lexsort((places, heights))[::-1].tolist():
         if kept[i]:
             near = np.abs(places - places[i]) < distance
             near[i] = False
             kept &= ~near
-    return places[kept]
+    return kept
 
 
 def prominence(v: np.ndarray, p: int) -> float:
@@ -131,7 +132,8 @@ def peaks(v: np.ndarray, distance: int, height: float = 0.5, share: float = 0.05
     if not len(v) or v.max() < NOISE:
         return np.zeros(0, int)
     found = maxima(v)
-    found = spaced(v, found[v[found] >= v.mean() + height * v.std()], distance)
+    found = found[v[found] >= v.mean() + height * v.std()]
+    found = found[spaced(v[found], found, distance)]
     least = share * (v.max() - v.min())
     return np.array([p for p in found if prominence(v, p) >= least], int)
 

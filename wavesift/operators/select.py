@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from wavesift.functions import signal_kernels as k
 from wavesift.operators.frames import linspace
+from wavesift.operators.walk import each_sequence
+
 
 def _seq():
     return Window.partitionBy("seq_id")
 
 
-
 def anchors(rows: DataFrame) -> DataFrame:
     """The first best item of each segment."""
     by = Window.partitionBy("seq_id", "seg").orderBy(F.desc("score"), "idx")
@@ -35,29 +36,26 @@ def hybrid(rows: DataFrame, budget: int) -> DataFrame:
 
 
 def greedy(rows: DataFrame, budget: int, balance: float = 0.5, vectors: bool = False) -> DataFrame:
-    """seq_id, rank, idx: each sequence as one segment, in order of choice. rows may have a vector column."""
+    """seq_id, rank, idx: each sequence as one segment, in order of choice. rows may have a vector column; a sequence
+    that lacks a vector is chosen from by time."""
 
-    def each(pdf):
-        pdf = pdf.sort_values("idx")
-        held = np.stack(pdf["vector"]).astype(float) if vectors else None
-        chosen = k.Greedy(pdf["score"].to_numpy(float), balance, held).segment(0, len(pdf), budget)
-        return pdf.iloc[chosen][["seq_id", "idx"]].assign(rank=np.arange(len(chosen)))[["seq_id", "rank", "idx"]]
+    def each(own):
+        x = own["score"].astype(float)
+        held = own["vector"] if vectors else None
+        chosen = k.Greedy(x, balance, None if held is None else held.astype(float)).segment(0, len(x), budget)
+        return {"rank": np.arange(len(chosen)), "idx": own["idx"][chosen]}
 
-    columns = ["seq_id", "idx", "score"] + ["vector"] * vectors
-    return rows.select(*columns).groupBy("seq_id").applyInPandas(each, "seq_id long, rank long, idx long")
+    return each_sequence(rows, ["score"] + ["vector"] * vectors, each, "rank long, idx long")
 
 
 def filled(rows: DataFrame, chosen: DataFrame, budget: int, balance: float = 0.5) -> DataFrame:
     """Chosen items (seq_id, idx) of each sequence brought to the budget."""
-    marked = rows.join(chosen.select("seq_id", "idx").distinct().withColumn("own", F.lit(True)), ["seq_id", "idx"], "left")
+    marked = rows.join(chosen.select("seq_id", "idx").distinct().withColumn("own", F.lit(True)), ["seq_id", "idx"], "left").withColumn("own", F.coalesce("own", F.lit(False)))
 
-    def each(pdf):
-        pdf = pdf.sort_values("idx")
-        own = np.flatnonzero(pdf["own"].notna().to_numpy()).tolist()
-        out = k.Greedy(pdf["score"].to_numpy(float), balance).fill(own, budget)
-        return pdf.iloc[out][["seq_id", "idx"]]
+    def each(own):
+        return {"idx": own["idx"][k.Greedy(own["score"].astype(float), balance).fill(np.flatnonzero(own["own"].astype(bool)).tolist(), budget)]}
 
-    return marked.select("seq_id", "idx", "score", "own").groupBy("seq_id").applyInPandas(each, "seq_id long, idx long")
+    return each_sequence(marked, ["score", "own"], each, "idx long")
 
 
 def to_original(chosen: Column, original: Column, budget: int) -> Column:
@@ -79,10 +77,9 @@ def keyframes(rows: DataFrame, settings: k.Settings = k.Settings(), vectors: boo
     """seq_id, idx, orig_idx of the selected items: bands, peaks, segments, budget and greedy choice in one kernel,
     so that each sequence is shuffled once."""
 
-    def each(pdf):
-        pdf = pdf.sort_values("idx")
-        held = np.stack(pdf["vector"]).astype(float) if vectors else None
-        return pdf.iloc[k.select(pdf["score"].to_numpy(float), settings, held)][["seq_id", "idx", "orig_idx"]]
+    def each(own):
+        held = own["vector"] if vectors else None
+        chosen = k.select(own["score"].astype(float), settings, None if held is None else held.astype(float))
+        return {"idx": own["idx"][chosen], "orig_idx": own["orig_idx"][chosen]}
 
-    columns = ["seq_id", "idx", "orig_idx", "score"] + ["vector"] * vectors
-    return rows.select(*columns).groupBy("seq_id").applyInPandas(each, "seq_id long, idx long, orig_idx long")
+    return each_sequence(rows, ["orig_idx", "score"] + ["vector"] * vectors, each, "idx long, orig_idx long")

@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavesift.functions import signal_kernels as k
+from wavesift.operators.walk import each_sequence
+
 
 def _seq():
     return Window.partitionBy("seq_id")
 
 
-
 def level(n: str = "n", taps: int = 8, drift: int = 3) -> F.Column:
     c = F.col(n)
     fit = F.least(F.floor(F.log2(c)) - drift, F.floor(F.log2(c / F.lit(float(taps - 1)))))
@@ -43,13 +44,11 @@ def band(rows: DataFrame, wavelet: str = "db4", drift: int = 3) -> DataFrame:
     """Rows (seq_id, idx, detail): each sequence's coarsest band, by a kernel over the sequence."""
     taps = len(k.LOW_PASS[wavelet])
 
-    def each(pdf):
-        pdf = pdf.sort_values("idx")
-        x = pdf["score"].to_numpy(float)
-        pdf["detail"] = k.coarsest_band(x, k.level_of(len(x), taps, drift), wavelet)
-        return pdf[["seq_id", "idx", "detail"]]
+    def each(own):
+        x = own["score"].astype(float)
+        return {"idx": own["idx"], "detail": k.coarsest_band(x, k.level_of(len(x), taps, drift), wavelet)}
 
-    return rows.select("seq_id", "idx", "score").groupBy("seq_id").applyInPandas(each, "seq_id long, idx long, detail double")
+    return each_sequence(rows, ["score"], each, "idx long, detail double")
 
 
 def thresholds(rows: DataFrame, value: str, height: float = 0.5, share: float = 0.05) -> DataFrame:
@@ -76,24 +75,35 @@ def high_maxima(rows: DataFrame, value: str, height: float = 0.5) -> DataFrame:
 def spaced(found: DataFrame, distance: int) -> DataFrame:
     """Maxima that stay when the highest removes its neighbours nearer than distance, and so on, by a kernel."""
 
-    def each(pdf):
-        pdf = pdf.sort_values("idx")
-        places = pdf["idx"].to_numpy()
-        v = np.zeros(places.max() + 1)
-        v[places] = pdf["v"]
-        return pdf[pdf["idx"].isin(k.spaced(v, places, distance))]
+    def each(own):
+        kept = k.spaced(own["v"].astype(float), own["idx"], distance)
+        return {"idx": own["idx"][kept], "v": own["v"][kept]}
 
-    return found.select("seq_id", "idx", "v").groupBy("seq_id").applyInPandas(each, "seq_id long, idx long, v double")
+    return each_sequence(found, ["v"], each, "idx long, v double")
 
 
 def prominences(rows: DataFrame, found: DataFrame, value: str) -> DataFrame:
-    """seq_id, idx and prominence of each maximum, from the signal on both sides up to a higher point."""
-    signal = rows.select("seq_id", F.col("idx").alias("at"), F.col(value).alias("x"))
-    met = found.select("seq_id", "idx", "v").join(signal, "seq_id")
-    walls = met.groupBy("seq_id", "idx", "v").agg(F.max(F.when((F.col("at") < F.col("idx")) & (F.col("x") > F.col("v")), F.col("at"))).alias("l"), F.min(F.when((F.col("at") > F.col("idx")) & (F.col("x") > F.col("v")), F.col("at"))).alias("r"))
-    inside = walls.join(signal, "seq_id").where((F.col("at") > F.coalesce("l", F.lit(-1))) & (F.col("at") < F.coalesce("r", F.lit(2**62))))
-    lows = inside.groupBy("seq_id", "idx", "v").agg(F.min(F.when(F.col("at") <= F.col("idx"), F.col("x"))).alias("a"), F.min(F.when(F.col("at") >= F.col("idx"), F.col("x"))).alias("b"))
-    return lows.select("seq_id", "idx", (F.col("v") - F.greatest("a", "b")).alias("prominence"))
+    """seq_id, idx and prominence of each maximum, from the signal on both sides up to a higher point, by a kernel."""
+    marks = found.select("seq_id", "idx").distinct().withColumn("own", F.lit(True))
+    marked = rows.select("seq_id", "idx", F.col(value).alias("v")).join(marks, ["seq_id", "idx"], "left").withColumn("own", F.coalesce("own", F.lit(False)))
+
+    def each(own):
+        at = np.flatnonzero(own["own"].astype(bool))
+        v = own["v"].astype(float)
+        return {"idx": own["idx"][at], "prominence": np.array([k.prominence(v, p) for p in at.tolist()], float)}
+
+    return each_sequence(marked, ["v", "own"], each, "idx long, prominence double")
+
+
+def peaks(rows: DataFrame, value: str, settings: k.Settings = k.Settings()) -> DataFrame:
+    """seq_id and idx of each sequence's peaks of |value|: high enough, then far enough apart, then prominent enough."""
+
+    def each(own):
+        v = own["v"].astype(float)
+        distance = k.distance_of(len(v), settings.distance_ratio, settings.distance_least)
+        return {"idx": own["idx"][k.peaks(v, distance, settings.height, settings.prominence)]}
+
+    return each_sequence(rows.withColumn("v", F.col(value)), ["v"], each, "idx long")
 
 
 def segmented(rows: DataFrame, found: DataFrame) -> DataFrame:

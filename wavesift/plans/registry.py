@@ -38,7 +38,7 @@ SEG = TOPS + """, sg as (select f.seq_id, f.idx, f.score, sum(case when hm.idx i
 RESULTS = """x as (select d.doc_id, d.lang, d.source, coalesce(l.quality, -1) as quality,
   case when d.n_chars % 5 = d.doc_id % 5 then 1 else 0 end as correct from documents d left join labels l on l.doc_id = d.doc_id)"""
 INTERVALS = """iv as (select user_id, event_id, epoch_us(ts) / 1e6 as start_s, epoch_us(lead(ts) over (partition by user_id order by ts, event_id)) / 1e6 as end_s from events)"""
-PT = INTERVALS + """, pt as (select user_id, event_id as id, epoch_us(ts) / 1e6 + 0.25 as t from events where event_id % 3 = 0), sp as (select * from iv where end_s is not null)"""
+PT = INTERVALS + """, pt as (select user_id, event_id as id, epoch_us(ts) / 1e6 + 0.25 as t from events), sp as (select * from iv where end_s is not null)"""
 KIND = "case event_id % 4 when 0 then 'A' when 1 then 'B' when 2 then 'C' else 'D' end"
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -366,7 +366,7 @@ def sigmoid_scores(spark, d):
     return table(spark, d, "events").select("event_id", F.round(scores.sigmoid((F.col("value") - 100) / 50), 6).alias("score"))
 
 
-@query("select doc_id, regexp_extract(replace(replace(trim(substr(text, 1, 400)), 'The best answer is', ''), 'The answer', ''), '[ABCD]', 0) as pred from documents")
+@query("select doc_id, regexp_extract(replace(replace(trim(text), 'The best answer is', ''), 'The answer', ''), '[ABCD]', 0) as pred from documents")
 def parse_answer_first_letter(spark, d):
     return table(spark, d, "documents").select("doc_id", parsers.first_letter(F.col("text")).alias("pred"))
 
@@ -472,7 +472,7 @@ def subtitle_interleave(spark, d):
     return subtitles.interleaved(points, spans, "user_id", "event_id", "t", "start_s", "end_s")
 
 
-@query("""with recursive e as (select r_name as parent, n_name as child from nation join region on r_regionkey = n_regionkey union all select n_name, c_name from customer join nation on n_nationkey = c_nationkey where c_custkey % 10 = 0),
+@query("""with recursive e as (select r_name as parent, n_name as child from nation join region on r_regionkey = n_regionkey union all select n_name, c_name from customer join nation on n_nationkey = c_nationkey),
  t as (select r_name as root, r_name as member, 0 as level from region union all select t.root, e.child, t.level + 1 from t join e on e.parent = t.member)
  select root, member, level from t where level > 0""")
 def task_expand_recursive(spark, d):
@@ -495,4 +495,4 @@ def oracle_sql() -> dict[str, str]:
     return {name: sql for name, (_, sql) in _all.items() if sql}
 
 
-from wavesift.plans import prompts_and_media  # noqa: E402, F401  (adds its queries to _all)
+from wavesift.plans import more, prompts_and_media  # noqa: E402, F401  (add their queries to _all)
