@@ -1,52 +1,16 @@
-"""Where intermediate tables are written, and how Arrow batches are sized."""
+"""What the operators of this package share: the shared folder, and how Arrow batches are sized."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from wavesift.session import prepare, table
+from wavesift.session import forget, prepare, settle, shared_folder, table
 
-__all__ = ["documents", "forget", "prepare", "settle", "shared_folder", "table"]
+__all__ = ["documents", "forget", "prepared", "settle", "shared_folder", "table"]
 
 #: Rows in an Arrow batch sent to Python; with long texts the default of 10,000 would be gigabytes.
 ARROW_ROWS = 1_000
 
-_own: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where that is unset, as in local tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    application = spark.sparkContext.applicationId
-    if application not in _own:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        _own[application] = "file://" + tempfile.mkdtemp(prefix="wavesift-")
-    return _own[application]
-
-
-def settle(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
-    """Write df as a table in the folder, by default a new one in the shared folder, and read it again: a lost
-    executor then costs no recomputation of what lies before it. The path is in the result's attribute settled_at."""
-    spark = df.sparkSession
-    path = folder or f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    again = spark.read.schema(df.schema).parquet(path)
-    again.settled_at = path
-    return again
-
-
-def forget(df: DataFrame) -> None:
-    """Delete a settled table that no later plan reads."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.settled_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepared(spark) and table(spark, sf_dir, "documents")
