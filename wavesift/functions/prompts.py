@@ -63,9 +63,9 @@ def few_shot(docs: DataFrame, pool: DataFrame, id: str, text: str, k: int, seed:
     """
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id).cast("string")))
     first = pool.select(F.col(id).alias("i"), F.col(text).alias("t"), order.alias("o")).orderBy("o", "i").limit(k + 1)
-    held = first.agg(F.sort_array(F.collect_list(F.struct("o", "i", "t"))).alias("held"))  # one row
+    held = first.agg(F.sort_array(F.collect_list(F.struct("o", "i", "t")))).scalar()
     others = F.filter("held", lambda x: x["i"] != F.col(id))
-    return docs.join(F.broadcast(held)).withColumn("examples", F.transform(F.slice(others, 1, k), lambda x: x["t"])).drop("held")
+    return docs.withColumn("held", held).withColumn("examples", F.transform(F.slice(others, 1, k), lambda x: x["t"])).drop("held")
 
 
 def with_examples(description: str, examples: Column, question: Column, between: str = "\n\n") -> Column:

@@ -298,8 +298,7 @@ _VECTORS = SEQ.replace("f as (", "f0 as (") + """, ct as (select count(*) as c f
 
 def _with_vectors(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    size = e.agg(F.count("*").alias("c"))  # one row
-    rows = _sequences(spark, d).join(F.broadcast(size)).withColumn("vec_id", F.col("orig_idx") % F.col("c"))
+    rows = _sequences(spark, d).withColumn("vec_id", F.col("orig_idx") % e.agg(F.count("*")).scalar())
     return rows.join(e.select("vec_id", F.col("embedding").alias("vector")), "vec_id").select("seq_id", "idx", "orig_idx", "score", "vector")
 
 
@@ -352,8 +351,8 @@ def keyframes_visual(spark, d):
   from embeddings a join embeddings b on b.vec_id = 0""")
 def cosine_scores(spark, d):
     e = table(spark, d, "embeddings")
-    one = e.where("vec_id = 0").select(F.col("embedding").alias("q"))  # one row
-    return e.join(F.broadcast(one)).select("vec_id", (F.round(scores.cosine(F.col("embedding"), F.col("q")), 6) + 0.0).alias("score"))
+    one = e.where("vec_id = 0").agg(F.min("embedding")).scalar()
+    return e.withColumn("q", one).select("vec_id", (F.round(scores.cosine(F.col("embedding"), F.col("q")), 6) + 0.0).alias("score"))
 
 
 @query("select event_id, round(1 / (1 + exp(value / 100 - (event_id % 7))), 6) as score from events")
@@ -366,16 +365,38 @@ def sigmoid_scores(spark, d):
     return table(spark, d, "events").select("event_id", F.round(scores.sigmoid((F.col("value") - 100) / 50), 6).alias("score"))
 
 
-@query("select doc_id, regexp_extract(replace(replace(trim(text), 'The best answer is', ''), 'The answer', ''), '[ABCD]', 0) as pred from documents")
+_PHRASES = "trim(text)"
+for _p in parsers.PREFIXES:
+    _PHRASES = f"replace({_PHRASES}, '{_p}', '')"
+
+
+@query(f"select doc_id, regexp_extract({_PHRASES}, '[ABCD]', 0) as pred from documents")
 def parse_answer_first_letter(spark, d):
     return table(spark, d, "documents").select("doc_id", parsers.first_letter(F.col("text")).alias("pred"))
 
 
-@query(f"""with t as (select event_id, case event_id % 5 when 0 then '(' || {KIND} || ') or (B)' when 1 then 'It is ' || {KIND} || ' then C ' when 2 then {KIND} || '.x' when 3 then 'e' else '(' || {KIND} || ')' end as s, {KIND} as k from events)
- select event_id, case event_id % 5 when 0 then 'B' when 1 then 'C' when 2 then k when 3 then null else k end as pred from t""")
+_SAID = f"""case event_id % 8 when 0 then '(' || {KIND} || ') or (B)' when 1 then 'It is ' || {KIND} || ' then C ' when 2 then {KIND} || '.x' when 3 then 'e' when 4 then '(' || {KIND} || ')'
+ when 5 then 'DNA test, ' || {KIND} || ' it is' when 6 then '.,' || {KIND} || '!?' else 'x(' || {KIND} || '):' end"""
+_STRIPPED = _SAID
+for _c in (",", ".", "!", "?", ";", ":", "''"):
+    _STRIPPED = f"trim({_STRIPPED}, '{_c}')"
+
+
+def _last(needle: str) -> str:
+    """SQL: where needle stands last in s, from 0 on, -1 if nowhere."""
+    return f"case when contains(s, {needle}) then length(s) - instr(reverse(s), reverse({needle})) - length({needle}) + 1 else -1 end"
+
+
+_PLACES = _last("'(' || x || ')'") + " as l1, " + _last("' ' || x || ' '") + " as l2"
+
+
+@query(f"""with p as (select event_id, ' ' || {_STRIPPED} || ' ' as s from events),
+ c as (select event_id, x, n, contains(s, '(' || x || ')') as b1, contains(s, x || ' ') as b2, contains(s, x || '.') as b3, {_PLACES} from p, (select unnest(['A', 'B', 'C', 'D', 'E']) as x, unnest(range(5)) as n) l),
+ m as (select *, max(b1::int) over (partition by event_id) as a1, max(b2::int) over (partition by event_id) as a2 from c),
+ r as (select event_id, x, row_number() over (partition by event_id order by case when a1 = 1 then l1 else l2 end desc, n) as q from m where (a1 = 1 and b1) or (a1 = 0 and a2 = 1 and b2) or (a1 = 0 and a2 = 0 and b3))
+ select p.event_id, r.x as pred from p left join r on r.event_id = p.event_id and q = 1""")
 def parse_answer_choice(spark, d):
-    kind = F.expr("element_at(array('A', 'B', 'C', 'D'), cast(event_id % 4 + 1 as int))")
-    text = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("("), kind, F.lit(") or (B)"))).when(F.col("event_id") % 5 == 1, F.concat(F.lit("It is "), kind, F.lit(" then C "))).when(F.col("event_id") % 5 == 2, F.concat(kind, F.lit(".x"))).when(F.col("event_id") % 5 == 3, F.lit("e")).otherwise(F.concat(F.lit("("), kind, F.lit(")")))
+    text = F.expr(_SAID)
     return table(spark, d, "events").select("event_id", parsers.choice(text).alias("pred"))
 
 
