@@ -206,17 +206,25 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
 def one_of_each(docs: DataFrame, text: str = "text", id: str = "doc_id", classify=classified) -> DataFrame:
     """docs with one row of each near-duplicate group, as classify finds them: the smallest id (null last), of its
     texts the one with the smallest hash (a null text counts as empty), and of its repeated rows one. Columns are as
-    before, whatever their names; an empty table stays empty. Whole rows are not shuffled but for those that are kept
-    and share their id."""
+    before, whatever their names; an empty table stays empty. Only rows that are repeated in full are brought together
+    as whole rows, to keep one of them."""
     rows, classes = classify(docs, text, id)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
-    kept = rows.join(classes, "fp").select("root", order.alias("o")).groupBy("root").agg(F.min("o").alias("o"))
-    kept = settle(kept.select(F.col("o.doc_id").alias("keep_id"), F.col("o.h").alias("keep_h")), "kept")
+    least = rows.groupBy("fp", order.alias("o")).agg(F.count("*").alias("n")).groupBy("fp").agg(F.min(F.struct("o", "n")).alias("o"))
+    kept = least.join(classes, "fp").groupBy("root").agg(F.min("o").alias("o"))
+    kept = settle(kept.select(F.col("o.o.doc_id").alias("keep_id"), F.col("o.o.h").alias("keep_h"), (F.col("o.n") > 1).alias("several")), "kept")
     forget(rows)
     forget(classes)
     own = docs.select(F.struct("*").alias("keep_row"), F.col(id).alias("keep_own"), F.xxhash64(text).alias("keep_hash"))
-    same = (own["keep_hash"] == kept["keep_h"]) & own["keep_own"].eqNullSafe(kept["keep_id"])
-    return own.join(kept, same, "left_semi").dropDuplicates(["keep_own", "keep_hash"]).select("keep_row.*")
+
+    def met(which: str) -> DataFrame:
+        these = kept.where(which)
+        return own.join(these, (own["keep_hash"] == these["keep_h"]) & own["keep_own"].eqNullSafe(these["keep_id"]), "left_semi")
+
+    found = met("not several").select("keep_row.*")
+    if kept.where("several").isEmpty():
+        return found
+    return found.union(met("several").dropDuplicates(["keep_own", "keep_hash"]).select("keep_row.*"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
