@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wavesift.functions.prompts import Hooks
 from wavesift.session import settle
 
 
@@ -122,3 +123,16 @@ def by_substring(rows: DataFrame, dims: list[str], domain: list[str]) -> DataFra
     hits = F.filter(F.array(*map(F.lit, domain)), lambda x: F.contains(joined, x))
     counted = rows.select("correct", F.explode(hits).alias("label"))
     return over_domain(counted, "label", domain)
+
+
+#: Aggregates of results by name.
+AGGREGATES = Hooks()
+AGGREGATES.add("mean", "acc")(F.avg)
+AGGREGATES.add("sum")(F.sum)
+AGGREGATES.add("max")(F.max)
+AGGREGATES.add("percent")(lambda c: F.coalesce(F.try_divide(100.0 * F.sum(c), F.count(c)), F.lit(0.0)))
+
+
+def rolled_up(rows: DataFrame, by: list[str], metrics: dict[str, tuple[str, str]]) -> DataFrame:
+    """by, and each metric: a name, the column it is of and the aggregate's name."""
+    return rows.groupBy(*by).agg(*[AGGREGATES[how](F.col(c)).alias(name) for name, (c, how) in metrics.items()])

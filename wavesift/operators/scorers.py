@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from wavesift.functions.prompts import Hooks
 from wavesift.operators.walk import each_sequence
@@ -54,3 +56,17 @@ def score_frames(frames: DataFrame, queries: DataFrame, scorer: str | Scorer = "
 
     kinds = f"idx long, feature_id {keyed.schema['feature_id'].dataType.simpleString()}, question {keyed.schema['question'].dataType.simpleString()}, score double"
     return each_sequence(keyed, ["vector", "query", "feature_id", "question"], each, kinds).drop("seq_id")
+
+
+def answered(requests: DataFrame, model: Callable[[list[str]], list[str]], context: str = "context", batch: int = 64) -> DataFrame:
+    """requests with the response that a model, which is plugged in, gives to each context, batch by batch where they
+    lie; a null context is answered like an empty one. No model is built in."""
+    made = to_arrow_schema(requests.withColumn("response", F.lit("")).schema)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            asked = [x or "" for x in b.column(b.schema.get_field_index(context)).to_pylist()]
+            told = [r for at in range(0, len(asked), batch) for r in model(asked[at : at + batch])]
+            yield pa.record_batch([*b.columns, pa.array(told, made.field("response").type)], made.names)
+
+    return requests.mapInArrow(each, requests.withColumn("response", F.lit("")).schema)

@@ -263,3 +263,24 @@ def subtitle_point_counts(spark, d):
 
     points, spans = _intervals(spark, d)
     return subtitles.covered(points, spans, "user_id", "t", "start_s", "end_s", 36_000).groupBy("user_id", "event_id").agg(F.count("*").alias("n_points"))
+
+
+@query("select event_type, round(avg(value), 6) as mean_, round(max(value), 6) as most, round(100.0 * sum(event_id % 2) / count(*), 6) as share from events group by 1")
+def rolled_up_metrics(spark, d):
+    rows = table(spark, d, "events").withColumn("odd", F.col("event_id") % 2)
+    found = evaluation.rolled_up(rows, ["event_type"], {"mean_": ("value", "Mean"), "most": ("value", "max"), "share": ("odd", "percent")})
+    return found.select("event_type", *[F.round(c, 6).alias(c) for c in ("mean_", "most", "share")])
+
+
+@query("select item_id, upper(substr(text, 1, 1)) as response from benchmark")
+def plugged_answers(spark, d):
+    asked = table(spark, d, "benchmark").select("item_id", F.col("text").alias("context"))
+    return scorers.answered(asked, lambda texts: [t[:1].upper() for t in texts]).select("item_id", "response")
+
+
+@query("select 'set' || (o_custkey % 50) as archive, string_agg('/d/set' || (o_custkey % 50) || '_' || o_orderkey || '.tar', ',' order by '/d/set' || (o_custkey % 50) || '_' || o_orderkey || '.tar') as parts from orders group by 1")
+def archive_parts(spark, d):
+    from wavesift.sources.files import archive_parts as parts
+
+    paths = table(spark, d, "orders").select(F.concat(F.lit("/d/set"), (F.col("o_custkey") % 50).cast("string"), F.lit("_"), F.col("o_orderkey").cast("string"), F.lit(".tar")).alias("path"))
+    return parts(paths).select("archive", F.array_join("parts", ",").alias("parts"))

@@ -80,6 +80,13 @@ def decoded(files: DataFrame, decoder: Callable[[str, bytes], Iterable[tuple[int
     return files.select("path", "content").mapInArrow(each, f"path string, frame long, {schema}")
 
 
+def archive_parts(files: DataFrame, path: str = "path") -> DataFrame:
+    """archive and parts: the paths of each archive's numbered parts (name_1.tar, name_2.tar and so on) in order of name,
+    to be put together; how they are fetched and unpacked is left to the user."""
+    base = F.regexp_replace(F.regexp_replace(F.regexp_extract(path, "([^/]*)$", 1), r"\.tar.*$", ""), r"_\d+$", "")
+    return files.groupBy(base.alias("archive")).agg(F.sort_array(F.collect_list(path)).alias("parts"))
+
+
 def image_frames(spark: SparkSession, folder: str, k: int = 10, pattern: str = "*.{jpg,jpeg,png}") -> DataFrame:
     """directory, rank and path of k images of each directory, spread over its files in order of name."""
     own = Window.partitionBy("directory")
