@@ -149,3 +149,11 @@ def test_media_and_documents(spark):
     docs = spark.createDataFrame([("a", "test", 1, "x"), ("a", "test", 2, "y"), ("b", "test", 1, "z")], "task string, split string, doc_id int, text string")
     held = spark.createDataFrame([("a", "test", 1, [1]), ("b", "test", 1, [2])], "task string, split string, doc_id int, keyframe_indices array<int>")
     assert sorted((r.task, r.doc_id, r.keyframe_indices) for r in selection.with_documents(held, docs).collect()) == [("a", 1, [1]), ("b", 1, [2])]
+
+
+def test_fallback_letters_follow_from_ids(spark):
+    from wavesift.functions import parsers
+
+    df = spark.range(200).withColumn("s", F.when(F.col("id") % 2 == 0, "(B)").otherwise("e"))
+    got = {r.id: r.pred for r in df.select("id", parsers.choice(F.col("s"), fallback=parsers.by_hash(F.col("id"))).alias("pred")).collect()}
+    assert all(got[i] == "B" for i in range(0, 200, 2)) and {got[i] for i in range(1, 200, 2)} == set("ABCDE")

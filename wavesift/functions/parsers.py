@@ -36,6 +36,11 @@ def choice(s: Column, letters: str = LETTERS, fallback: Column | None = None) ->
     return F.coalesce(best("({})", "({})"), best("{} ", " {} "), best("{}.", " {} "), fallback if fallback is not None else F.lit(None).cast("string"))
 
 
+def by_hash(id: Column, letters: str = LETTERS) -> Column:
+    """A letter that follows from an id: a fallback for choice() that is the same in each run."""
+    return F.array(*map(F.lit, letters))[F.pmod(F.xxhash64(id), F.lit(len(letters))).cast("int")]
+
+
 def bracket(s: Column) -> Column:
     """The character before the first closing bracket; empty if that comes first, all of it without one."""
     at = F.instr(s, ")")

@@ -118,14 +118,19 @@ def to_frame(seconds: Column, fps: Column) -> Column:
     return (seconds * fps).cast("long")
 
 
+def subtitle_frames(subtitles: Column, fps: Column) -> Column:
+    """Subtitles, an array of (start_s, end_s, text), as (start, end, text) by frames."""
+    return F.transform(subtitles, lambda s: F.struct(to_frame(s["start_s"], fps).alias("start"), to_frame(s["end_s"], fps).alias("end"), s["text"].alias("text")))
+
+
 def subtitles_at(subtitles: Column, fps: Column, total: Column, n: Column) -> Column:
     """Texts of the subtitles, an array of (start_s, end_s, text), in which one of n frames spread over a video of total
     frames lies (n of -1: all frames), in their order, without marks."""
-    held = F.transform(subtitles, lambda s: F.struct(to_frame(s["start_s"], fps).alias("a"), to_frame(s["end_s"], fps).alias("b"), s["text"].alias("text")))
+    held = subtitle_frames(subtitles, fps)
     n = F.when(n == -1, total).otherwise(n)
     step = (total - 1) / F.greatest(n - 1, F.lit(1))
     places = F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1), lambda i: F.when((i == n - 1) & (n > 1), total - 1).otherwise(F.floor(i * step)).cast("long"))
-    return font_texts(F.transform(F.filter(held, lambda s: F.exists(places, lambda p: (p >= s["a"]) & (p < s["b"]))), lambda s: s["text"]))
+    return font_texts(F.transform(F.filter(held, lambda s: F.exists(places, lambda p: (p >= s["start"]) & (p < s["end"]))), lambda s: s["text"]))
 
 
 class Hooks:
