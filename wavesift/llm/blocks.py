@@ -28,19 +28,19 @@ from wavesift.llm import bpe
 from wavesift.llm.shared import documents, prepared, settle
 
 TOKENIZER, END = "byte_bpe_50k.json", 0
-MAGIC, VERSION = b"CMRC", 2
+MAGIC, VERSION = b"CMRC", 3
 #: Ids after which a block ends with its document, lanes of a full block, and ids that a lane has at least.
 BLOCK_IDS, LANES, LANE_IDS = 1 << 21, 8_192, 256
 #: Bits of the order-2 table, of a probability of order 2, of order 1 and of order 0; steps between the renewals of the
 #: latter's frequencies.
-TABLE_BITS, UNIT_BITS, NEXT_BITS, TOTAL_BITS, RENEW = 20, 16, 20, 24, 8
+TABLE_BITS, UNIT_BITS, NEXT_BITS, TOTAL_BITS, RENEW = 18, 16, 20, 24, 8
 #: Levels of confidence in an order-2 prediction, and the level from which it is used.
 CONFIDENCE, SURE = 8, 2
 #: Kinds of order-1 contexts, by how many ids follow them anew; one step in so many is watched for the weights of kinds.
 KINDS, WATCHED = 12, 4
 
 _u = np.uint64
-_NEXT = _u(1 << NEXT_BITS)
+_NEXT, _BELOW = _u(1 << NEXT_BITS), _u((1 << NEXT_BITS) - 1)
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -108,7 +108,7 @@ class Model:
         ends = size.cumsum()
         start = ends - size - np.repeat((ends - size)[at], kinds)
         self.span = (head << NEXT_BITS) + start
-        self.start, self.size = start.astype(_u), size.astype(_u)
+        self.both = (start << NEXT_BITS | size).astype(_u)  # the size is below 2 ** NEXT_BITS
         self.known, self.kind = np.zeros(self.ids, _u), np.full(self.ids, -1)
         self.known[head[at]] = np.add.reduceat(size, at)
         self.kind[head[at]] = kind
@@ -136,13 +136,15 @@ class Model:
         wanted = self.c1[vain] << NEXT_BITS | self.guess[vain]
         k = _find(self.keys, wanted)
         there = self.keys[k] == wanted
-        return np.where(there, self.start[k], _NEXT), np.where(there, self.size[k], _u(0))
+        both = np.where(there, self.both[k], _NEXT << _u(NEXT_BITS))
+        return both >> _u(NEXT_BITS), both & _BELOW
 
     def next_spans(self, k: np.ndarray, there: np.ndarray, hit: np.ndarray, vain: np.ndarray, gone: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and size of each lane's order-1 outcome: the span k if there is one, else what the known ids leave;
         all for lanes that order 2 foresaw."""
         known = self.known[self.c1]
-        start, size = np.where(there, self.start[k], known), np.where(there, self.size[k], _NEXT - known)
+        both = self.both[k]
+        start, size = np.where(there, both >> _u(NEXT_BITS), known), np.where(there, both & _BELOW, _NEXT - known)
         start[hit], size[hit] = 0, _NEXT
         start[vain] -= width * (start[vain] > gone)
         return start, size
