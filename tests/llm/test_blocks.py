@@ -48,7 +48,7 @@ def test_order_1_spans_do_not_meet():
     head, unit = model.keys >> blocks.NEXT_BITS, 1 << blocks.NEXT_BITS
     for x in np.unique(head):
         own = head == x
-        start, size = model.start[own], model.size[own]
+        start, size = model.both[own] >> blocks._u(blocks.NEXT_BITS), model.both[own] & blocks._BELOW
         assert start[0] == 0 and (size > 0).all() and (start[1:] == (start + size)[:-1]).all() and model.known[x] == (start + size)[-1] < unit
 
 
