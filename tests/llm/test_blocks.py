@@ -58,3 +58,12 @@ def test_where_blocks_are_written(spark, docs, empty, tmp_path):
     again = blocks.read_ids(spark.read.parquet(folder))
     assert sorted(map(repr, again.collect())) == sorted(map(repr, blocks.read_ids(written).collect()))
     assert blocks.read_ids(blocks.write_ids(empty, folder=f"file://{tmp_path}/none")).count() == 0
+
+
+def test_ids_with_many_rows_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "ALIKE", 5)
+    rows = [(None if i % 3 else 7, f"text {i % 17}") for i in range(60)] + [(i, "other") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = blocks.read_ids(blocks.write_ids(df)).orderBy("start").collect()
+    assert sorted(((r.doc_id is not None, r.doc_id or 0) for r in got)) == [(r.doc_id is not None, r.doc_id or 0) for r in got] and len(got) == 70
+    assert [r.start for r in got] == np.cumsum([0] + [len(r.ids) for r in got])[:-1].tolist()

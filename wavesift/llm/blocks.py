@@ -34,6 +34,8 @@ BLOCK_IDS, LANES, LANE_IDS = 1 << 21, 8_192, 256
 #: Bits of the order-2 table, of a probability of order 2, of order 1 and of order 0; steps between the renewals of the
 #: latter's frequencies.
 TABLE_BITS, UNIT_BITS, NEXT_BITS, TOTAL_BITS, RENEW = 18, 16, 20, 24, 8
+#: Rows of one id that may lie in one range of ids.
+ALIKE = 1_000
 #: Levels of confidence in an order-2 prediction, and the level from which it is used.
 CONFIDENCE, SURE = 8, 2
 #: Kinds of order-1 contexts, by how many ids follow them anew; one step in so many is watched for the weights of kinds.
@@ -399,7 +401,10 @@ def write_ids(docs: DataFrame, path: str | None = None, text: str = "text", id:
         if ids:
             yield block()
 
-    ordered = chosen.repartitionByRange(F.col("doc_id").asc(), F.xxhash64("text").asc()).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    # ranges come from a pass over their keys: texts are only read for it where an id alone would be too much for a range
+    most = chosen.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    keys = [F.col("doc_id").asc()] + [F.xxhash64("text").asc()] * (most > ALIKE)
+    ordered = chosen.repartitionByRange(*keys).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     return settle(ordered.mapInArrow(each, f"shard int, block int, doc_ids array<{kind}>, n_ids long, payload binary"), "token-blocks", folder)
 
 
