@@ -51,7 +51,7 @@ def test_files_to_keyframes(spark, tmp_path):
     decided = selection.decided(records, payloads, "clip", 8)
     made = selection.keyframes(decided, Settings(budget=8), files.features(spark, f"{tmp_path}/features", "clip"), lengths)
     path = files.keyframe_path("mlvu", "clip", 8, f"{tmp_path}/out")
-    assert path.endswith("out/mlvu/WFS_mlvu_clip_8f.json") and files.export_list(selection.outputs(records, made), path, "ordinal") == 5
+    assert path.endswith("out/mlvu/keyframes_mlvu_clip_8f.json") and files.export_list(selection.outputs(records, made), path, "ordinal") == 5
     with open(path) as f:
         got = {x["question_id"]: x for x in json.load(f)}
     assert got[0]["video_name"] == "v0.mp4" and got[0]["question"] == "?"

@@ -131,9 +131,9 @@ def write_results(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
-def keyframe_path(benchmark: str, model: str, k: int, folder: str = "outputs") -> str:
+def keyframe_path(benchmark: str, model: str, k: int, folder: str = "outputs", prefix: str = "keyframes") -> str:
     """Where a run's keyframes go by default."""
-    return f"{folder}/{benchmark}/WFS_{benchmark}_{model}_{k}f.json"
+    return f"{folder}/{benchmark}/{prefix}_{benchmark}_{model}_{k}f.json"
 
 
 def export_list(rows: DataFrame, path: str, order: str) -> int:
