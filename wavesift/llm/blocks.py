@@ -363,7 +363,7 @@ def read_block(block: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def write_ids(docs: DataFrame, path: str | None = None, text: str = "text", id: str = "doc_id", end: int = END, folder: str | None = None) -> DataFrame:
-    """Blocks of the ids of all rows in ascending order of id (null first; ties by text), written to the folder (which
+    """Blocks of the ids of all rows in ascending order of id (null first; ties by text or its hash), written to the folder (which
     must not exist) or, without one, to the shared folder, and read again.
 
     Columns: shard and block (their order is the order of the file), doc_ids, n_ids, payload. A shard is a range of
@@ -404,7 +404,7 @@ def write_ids(docs: DataFrame, path: str | None = None, text: str = "text", id:
     # ranges come from a pass over their keys: texts are only read for it where an id alone would be too much for a range
     most = chosen.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     keys = [F.col("doc_id").asc()] + [F.xxhash64("text").asc()] * (most > ALIKE)
-    ordered = chosen.repartitionByRange(*keys).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    ordered = chosen.repartitionByRange(*keys).sortWithinPartitions(*keys, "text")
     return settle(ordered.mapInArrow(each, f"shard int, block int, doc_ids array<{kind}>, n_ids long, payload binary"), "token-blocks", folder)
 
 
