@@ -39,7 +39,7 @@ ALIKE = 1_000
 #: Levels of confidence in an order-2 prediction, and the level from which it is used.
 CONFIDENCE, SURE = 8, 2
 #: Kinds of order-1 contexts, by how many ids follow them anew; one step in so many is watched for the weights of kinds.
-KINDS, WATCHED = 12, 4
+KINDS, WATCHED = 12, 8
 
 _u = np.uint64
 _NEXT, _BELOW = _u(1 << NEXT_BITS), _u((1 << NEXT_BITS) - 1)
