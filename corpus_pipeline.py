@@ -19,8 +19,9 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a Jaccard similarity of 0.8 or more of five-word shingles: the one with
-    the smallest id (null last), and of repeated rows of that id one. Texts without words are one group; a shorter text
-    is one shingle; an empty table stays empty."""
+    the smallest id (null last), and of repeated rows of that id one. Candidates are the groups of op2's operator, from
+    fingerprints of these shingles, and MinHash bands; each is verified. Texts without words are one group; a shorter
+    text is one shingle; an empty table stays empty."""
     return simhash.one_of_each(docs, classify=minhash.classified)
 
 

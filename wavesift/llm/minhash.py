@@ -1,4 +1,5 @@
-"""Near-duplicate groups by the Jaccard similarity of word shingles: candidates from MinHash bands, each verified."""
+"""Near-duplicate groups by the Jaccard similarity of word shingles: candidates from the groups of the SimHash operator
+and, for pairs that its fingerprints hold farther apart, from MinHash bands; each is verified."""
 
 from __future__ import annotations
 
@@ -10,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wavesift.llm import simhash
 from wavesift.llm.components import connect
 from wavesift.llm.shared import forget, prepared, settle
 
@@ -58,19 +60,21 @@ def bands(own: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """doc_id, h (the hash of the text), fp (the hash of its set of shingles), keys of its bands and the set of every
-    row; a null text counts as empty."""
+    """doc_id, h (the hash of the text), fp (the hash of its set of shingles), bits (the SimHash fingerprint of its
+    shingles, repeats included), keys of its bands and the set of every row; a null text counts as empty."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(t) for t in b.column(2).to_pylist()]
+            texts = b.column(2).to_pylist()
+            sets = [shingles(t) for t in texts]
+            bits = np.fromiter((simhash.fingerprint(t, SHINGLE) for t in texts), np.uint64, len(texts)).view(np.int64)
             fp = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets), np.uint64, len(sets)).view(np.int64)
             keys = pa.array([bands(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(fp), keys, pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "h", "fp", "keys", "own"])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(fp), pa.array(bits), keys, pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "h", "fp", "bits", "keys", "own"])
 
     chosen = docs.select(F.col(id).alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
     kind = chosen.schema["doc_id"].dataType.simpleString()
-    return chosen.mapInArrow(each, f"doc_id {kind}, h long, fp long, keys array<long>, own binary")
+    return chosen.mapInArrow(each, f"doc_id {kind}, h long, fp long, bits long, keys array<long>, own binary")
 
 
 def _alike(own: np.ndarray, others: list[np.ndarray], least: float = SIMILARITY) -> list[int]:
@@ -192,10 +196,25 @@ def _of_large(held: DataFrame, sets: DataFrame) -> tuple[DataFrame, list[DataFra
     return found.union(blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_by_block, "a long, b long")), [pivots, star]
 
 
+def near(rows: DataFrame) -> DataFrame:
+    """Rows (fp, band, key) that put the sets of one group of SimHash fingerprints in one bucket: fingerprints that the
+    links of the SimHash operator connect, and sets of the same fingerprint. Settled; groups of one set are left out."""
+    own = settle(rows.select("fp", "bits").distinct(), "bits")
+    roots = connect(simhash.links(own.select(F.col("bits").alias("fp")).distinct()))
+    rooted = own.join(roots, own["bits"] == roots["node"], "left").select("fp", F.coalesce("root", "bits").alias("key")).distinct()
+    rooted = settle(rooted, "rooted")
+    several = rooted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    found = settle(rooted.join(several, "key").select("fp", F.lit(BANDS).alias("band"), "key"), "near")
+    forget(own)
+    forget(rooted)
+    return found
+
+
 def links(rows: DataFrame) -> DataFrame:
-    """Edges (a, b) between sets of shingles, enough to connect all that share a band and are similar. Buckets of
-    the same members are verified once; large ones in parts."""
-    keyed = rows.select("fp", "keys").dropDuplicates(["fp"]).select("fp", F.posexplode("keys").alias("band", "key"))
+    """Edges (a, b) between sets of shingles, enough to connect all that are similar and share a group of SimHash
+    fingerprints or a band. Buckets of the same members are verified once; large ones in parts."""
+    close = near(rows)
+    keyed = rows.select("fp", "keys").dropDuplicates(["fp"]).select("fp", F.posexplode("keys").alias("band", "key")).union(close)
     large = settle(keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("band", "key"), "large")
     some = not large.isEmpty()
     small = keyed.join(large, ["band", "key"], "left_anti") if some else keyed
@@ -208,7 +227,7 @@ def links(rows: DataFrame) -> DataFrame:
     sets = rows.select("fp", "own").join(F.broadcast(candidates) if few else candidates, "fp", "left_semi").dropDuplicates(["fp"])
     met = placed.join(sets, "fp").select("group", "fp", "own")
     found = met.repartition("group").sortWithinPartitions("group").mapInArrow(_verify, "a long, b long")
-    done = [large, groups, candidates]
+    done = [close, large, groups, candidates]
     if some:
         sets = settle(sets, "sets")
         more, read = _of_large(held, sets)

@@ -24,17 +24,17 @@ GROUP = 4_096
 STEP = 65_536
 
 
-def fingerprint(text: str | None) -> int:
-    """SimHash of a text's shingles of three words; zero for none. Long texts are counted in steps."""
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """SimHash of a text's shingles of so many words; zero for none. Long texts are counted in steps."""
     words = (text or "").encode("utf-8").lower().split()
     if not words:
         return 0
-    if len(words) < SHINGLE:
+    if len(words) < shingle:
         return xxhash.xxh64_intdigest(b" ".join(words), SEED)
-    total, counts = len(words) - SHINGLE + 1, np.zeros(64, np.int64)
+    total, counts = len(words) - shingle + 1, np.zeros(64, np.int64)
     for at in range(0, total, STEP):
-        w = words[at : at + STEP + SHINGLE - 1]
-        shingles = map(b" ".join, zip(*(w[i:] for i in range(SHINGLE)), strict=False))
+        w = words[at : at + STEP + shingle - 1]
+        shingles = map(b" ".join, zip(*(w[i:] for i in range(shingle)), strict=False))
         h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), "<u8")
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * counts > total, bitorder="little").view("<u8")[0])
