@@ -138,6 +138,9 @@ def explode(docs: DataFrame, buckets: int, text: str = "text", id: str = "doc_id
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for n, (names, texts) in enumerate(_chunks(batches)):
             yield from told((TaskContext.get().partitionId() << 32) + n, names, texts)
+            places.freed()
+        names = texts = None
+        places.freed()
 
     return chosen.mapInArrow(each, f"chunk long, bucket int, words binary, held array<{chosen.schema['doc_id'].dataType.simpleString()}>, sizes binary, places binary")
 
@@ -181,6 +184,8 @@ def encode_words(rows: DataFrame, path: str) -> DataFrame:
                 sizes = places.squeezed(counts)
                 out.append(len(sizes).to_bytes(4, "little") + sizes + places.squeezed(np.frombuffer(b"".join(own), "<u4")))
             yield pa.record_batch([b.column(0), b.column(1), pa.array(out, pa.binary())], ["chunk", "bucket", "ids"])
+        held, known = None, {}
+        places.freed()
 
     return rows.mapInArrow(each, "chunk long, bucket int, ids binary")
 
@@ -222,12 +227,16 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", id: str
         starts = np.concatenate([[0], counts.cumsum()])
         wide = counts[place]
         ends = np.concatenate([[0], wide.cumsum()])
-        ids = flat[np.repeat(starts[:-1][place] - ends[:-1], wide) + np.arange(ends[-1])]
+        at = np.repeat(starts[:-1][place] - ends[:-1], wide)
+        at += np.arange(ends[-1], dtype=np.uint32)
+        ids = flat[at]
+        del place, wide, at, own, flat
         bounds = ends[np.concatenate([[0], sizes.cumsum()])]
         made = zip(*(row(ids[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)), strict=True) if labels else []
         listed = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.view(np.int32)))
         names = end.column("held").combine_chunks()
         names = names.chunk(0) if isinstance(names, pa.ChunkedArray) else names
+        places.freed()
         return pa.table([names.flatten(), listed, *(pa.array(c, t) for c, t in zip(made, types, strict=True))], names=["doc_id", "ids", *labels])
 
     kind = rows.schema["held"].dataType.elementType.simpleString()
@@ -259,15 +268,18 @@ def decode(rows: DataFrame, path: str | None = None, ids: str = "ids", keep: tup
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(sizes)]]).tolist()
             for a, e in zip(cuts[:-1], cuts[1:], strict=True):
                 whole = lists.slice(a, e - a).flatten().to_numpy(zero_copy_only=False)
-                found = np.flatnonzero(np.bincount(np.where((0 <= whole) & (whole <= most), whole, most)))
+                whole = np.where((0 <= whole) & (whole <= most), whole, most)
+                found = np.flatnonzero(np.bincount(whole))
                 if len(found):
-                    number = np.zeros(most + 1, np.int64)
+                    number = np.zeros(most + 1, np.int32)
                     number[found] = np.arange(len(found))
-                    codes = number[np.where((0 <= whole) & (whole <= most), whole, most)]
+                    codes = number[whole]
+                    del whole
                     n = len(found)
                     yield pa.record_batch([pa.array(found, pa.int32()), places.binary(*places.gathered(codes, n)), pa.nulls(n, pa.list_(kept)), pa.nulls(n, pa.binary())], ["token", "places", "held", "sizes"])
                 held = pa.ListArray.from_arrays(pa.array([0, e - a], pa.int32()), pa.concat_arrays([b.column(0).slice(a, e - a)]).cast(kept))
                 yield pa.record_batch([pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), held, pa.array([sizes[a:e].astype("<i4").tobytes()], pa.binary())], ["token", "places", "held", "sizes"])
+            places.freed()
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tokens, end in places.runs(batches, "sizes"):
@@ -280,6 +292,8 @@ def decode(rows: DataFrame, path: str | None = None, ids: str = "ids", keep: tup
             of = known.__getitem__
             made = (make(None if n < 0 else b"".join(map(of, place[a:b].tolist()))) for n, a, b in zip(sizes.tolist(), ends[:-1], ends[1:], strict=True))
             columns = [pa.array(c, t) for c, t in zip(zip(*made, strict=True), types, strict=True)]
+            del tokens, known, place, of
+            places.freed()
             yield pa.record_batch([*end.column("held").flatten().flatten(), *columns], [*keep, *labels])
 
     fields = ", ".join(f"`{c}` {chosen.schema['held'].dataType[c].dataType.simpleString()}" for c in keep)

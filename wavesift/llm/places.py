@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,50 +12,75 @@ import zstandard
 #: Bits that one byte of a gap holds; its eighth bit says that another follows. Gaps have five bytes at most.
 BITS, BYTES = 7, 5
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+
+
+def freed() -> None:
+    """Give memory that is free in this process back to the system; a worker that waits would keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
 
 def gathered(codes: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray]:
     """The ascending places of each of the values 0 .. kinds - 1, all of which occur, as gaps in bytes, and the byte
     at which each value's begin, with the end of all."""
-    keys = np.sort(codes.astype(np.int64) << 32 | np.arange(len(codes)))
-    place = keys & 0xFFFFFFFF
+    place = codes.astype(np.int64)
+    place <<= 32
+    place |= np.arange(len(codes), dtype=np.uint32)
+    place.sort()
+    place &= 0xFFFFFFFF
     first = np.concatenate([[0], np.bincount(codes, minlength=kinds).cumsum()])
     gaps = np.diff(place, prepend=0)
     gaps[first[:-1]] = place[first[:-1]]
-    wide = np.ones(len(gaps), np.int64)
+    del place
+    wide = np.ones(len(gaps), np.uint8)
     for n in range(1, BYTES):
         more = gaps >= 1 << BITS * n
         if not more.any():
             break
         wide += more
-    ends = np.concatenate([[0], wide.cumsum()])
+    ends = np.concatenate([[0], wide.cumsum(dtype=np.int64)])
     out = np.empty(ends[-1], np.uint8)
     for n in range(BYTES):
         own = np.flatnonzero(wide > n) if n else slice(None)
         if n and not len(own):
             break
-        out[ends[:-1][own] + n] = (gaps[own] >> BITS * n) & 127 | (wide[own] > n + 1) << 7
+        low = (gaps[own] >> BITS * n).astype(np.uint8) & 127
+        low |= (wide[own] > n + 1).view(np.uint8) << 7
+        out[ends[:-1][own] + n] = low
     return out, ends[first]
 
 
 def scattered(packed: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     """For each of n places the number of the value that stands there; ValueError unless each place has one."""
     ends = np.flatnonzero(packed < 128)
-    begun = np.concatenate([[0], ends[:-1] + 1])
-    more = ends - begun
-    gaps = packed[ends].astype(np.int64) << BITS * more
+    first = np.searchsorted(ends, starts)
+    sizes = np.diff(first)
+    more = (np.diff(ends, prepend=-1) - 1).astype(np.uint8)
+    total = packed[ends].astype(np.int64)
+    total <<= BITS * more
     for k in range(BYTES - 1):
         own = np.flatnonzero(more > k)
         if not len(own):
             break
-        gaps[own] |= (packed[begun[own] + k].astype(np.int64) & 127) << BITS * k
-    first = np.searchsorted(ends, starts)
-    sizes = np.diff(first)
-    total = gaps.cumsum()
-    if len(gaps) != n:
-        raise ValueError(f"{len(gaps)} places for {n}")
-    place = total - np.repeat((total - gaps)[first[:-1]], sizes) if n else total
-    out = np.full(n, -1, np.int64)
-    out[place] = np.repeat(np.arange(len(sizes)), sizes)
+        at = ends[own]
+        at += k
+        at -= more[own]
+        part = (packed[at] & 127).astype(np.int64)
+        del at
+        part <<= BITS * k
+        total[own] |= part
+        del own, part
+    del ends, more
+    if len(total) != n:
+        raise ValueError(f"{len(total)} places for {n}")
+    before = total[first[:-1][sizes > 0]]  # the first gap of each value is its place
+    total.cumsum(out=total)
+    if n:
+        total -= np.repeat(total[first[:-1][sizes > 0]] - before, sizes[sizes > 0])
+    out = np.full(n, -1, np.int32)
+    out[total] = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     if n and out.min() < 0:
         raise ValueError("a place without a value")
     return out
