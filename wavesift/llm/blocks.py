@@ -47,14 +47,28 @@ _NEXT, _BELOW = _u(1 << NEXT_BITS), _u((1 << NEXT_BITS) - 1)
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """The last place of each wanted value among sorted keys that is not beyond it. They are looked up in order, which
-    keeps to the cache."""
+    keeps to the cache; of keys and wanted values the fewer are looked up."""
     bits = max(1, len(wanted).bit_length())
     order = np.sort(wanted << bits | np.arange(len(wanted)))
     found = np.empty(len(wanted), np.int64)
-    found[order & ((1 << bits) - 1)] = np.searchsorted(keys, order >> bits, "right") - 1
+    if len(keys) < len(wanted):
+        ends = np.concatenate([[0], np.searchsorted(order, keys << bits), [len(wanted)]])
+        places = np.repeat(np.arange(-1, len(keys)), np.diff(ends))
+    else:
+        places = np.searchsorted(keys, order >> bits, "right") - 1
+    found[order & ((1 << bits) - 1)] = places
     return found
 
 
+def _packed(id: np.ndarray | int, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return (id << NEXT_BITS + 1 | size) << NEXT_BITS | start
+
+
+def _span(outcome: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and size, which may be 2 ** NEXT_BITS, of packed outcomes."""
+    return outcome & ((1 << NEXT_BITS) - 1), (outcome >> NEXT_BITS) & ((1 << NEXT_BITS + 1) - 1)
+
+
 class Model:
     """What encoder and decoder know alike before each step.
 
@@ -67,7 +81,7 @@ class Model:
         self.right = np.stack([np.arange(1.0, CONFIDENCE + 1), np.full(CONFIDENCE, CONFIDENCE + 1.0)])
         self.seen = np.zeros(ids, np.int64)
         self.c1 = np.zeros(lanes, np.int64)
-        self.far = np.zeros(lanes, np.uint32)  # the id before c1
+        self.near, self.far = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)  # c1, and the id before it
         self.steps, self.counted = 0, 0
         self.fresh = np.stack([0.5 ** np.arange(KINDS), np.ones(KINDS)])  # ids that followed anew, and all, by kind
         self.keys, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -79,7 +93,7 @@ class Model:
         total = int(self.seen.sum())
         freq = 1 + (self.seen * free // total if total else np.zeros(self.ids, np.int64))
         self.cum = np.concatenate([[0], freq.cumsum()])
-        self.low, self.freq = self.cum.astype(_u), freq.astype(_u)
+        self.low, self.freq = self.cum.view(_u), freq.view(_u)
 
     def count(self, grid: np.ndarray) -> None:
         """Order-1 spans from the ids so far (a row for each step): for each pair of ids its start and size within
@@ -109,18 +123,56 @@ class Model:
         size = 1 + (np.repeat(room / total, kinds) * n).astype(np.int64)
         ends = size.cumsum()
         start = ends - size - np.repeat((ends - size)[at], kinds)
-        self.span = (head << NEXT_BITS) + start
         self.both = (start << NEXT_BITS | size).astype(_u)  # the size is below 2 ** NEXT_BITS
         self.known, self.kind = np.zeros(self.ids, _u), np.full(self.ids, -1)
         self.known[head[at]] = np.add.reduceat(size, at)
         self.kind[head[at]] = kind
+        # outcomes: an id's spans in order, then what they leave, which gives no id
+        self.follow = np.zeros(self.ids, np.int64)
+        self.follow[head[at]] = kinds
+        self.rest = self.follow.cumsum() + np.arange(self.ids)
+        self.outcome = np.empty(len(head) + self.ids, np.int64)
+        self.outcome[np.arange(len(head)) + head] = _packed(self.keys & ((1 << NEXT_BITS) - 1), start, size)
+        known = self.known.view(np.int64)
+        self.outcome[self.rest] = _packed(-1, known, (1 << NEXT_BITS) - known)
         self.counted = self.steps
 
+    def guide(self) -> None:
+        """What place() needs. Each id's 2 ** NEXT_BITS are cut into equal cells, as many as it has outcomes or up to twice
+        that; a cell holds the outcome that its first value lies in."""
+        which = np.repeat(np.arange(self.ids), self.follow + 1)
+        bits = np.searchsorted(1 << np.arange(NEXT_BITS), self.follow + 1)
+        cells = (1 << bits).cumsum()
+        first = self.outcome & ((1 << NEXT_BITS) - 1)
+        self.begin = which << NEXT_BITS | first
+        shift, ahead = NEXT_BITS - bits, cells - (1 << bits)
+        self.cells = ahead << 5 | shift
+        shift = shift[which]
+        begins = ahead[which] + (first + (1 << shift) - 1 >> shift)
+        self.held = np.repeat(np.arange(len(which), dtype=np.int32), np.diff(begins, append=cells[-1]))
+
+    def place(self, v: np.ndarray) -> np.ndarray:
+        """The packed outcome that each lane's value lies in: few places on from its cell's, or looked up."""
+        cell = self.cells[self.c1]
+        k = self.held[(cell >> 5) + (v >> (cell & 31))]
+        found = self.outcome[k]
+        start, size = _span(found)
+        beyond = np.flatnonzero(start + size <= v)
+        k, low = k[beyond], v[beyond]
+        for _ in range(4):
+            k += 1
+            own = self.outcome[k]
+            found[beyond] = own
+            start, size = _span(own)
+            more = np.flatnonzero(start + size <= low)
+            beyond, k, low = beyond[more], k[more], low[more]
+        found[beyond] = self.outcome[np.searchsorted(self.begin, self.c1[beyond] << NEXT_BITS | low, "right") - 1]
+        return found
+
     def predict(self) -> None:
         """The order-2 cells, which lanes are sure of them, and the bounds of such a prediction by confidence."""
-        near = self.c1.astype(np.uint32)
-        mixed = (self.far * np.uint32(50_287) + near) * np.uint32(2_654_435_761)
-        self.slot, self.far = (mixed >> np.uint32(32 - TABLE_BITS)).astype(np.intp), near
+        mixed = (self.far * np.uint32(50_287) + self.near) * np.uint32(2_654_435_761)
+        self.slot, self.far = (mixed >> np.uint32(32 - TABLE_BITS)).astype(np.intp), self.near
         self.cell = self.second[self.slot]
         self.guess, self.level = self.cell >> 3, self.cell & (CONFIDENCE - 1)
         self.sure = np.flatnonzero(self.level >= SURE)
@@ -141,12 +193,9 @@ class Model:
         both = np.where(there, self.both[k], _NEXT << _u(NEXT_BITS))
         return both >> _u(NEXT_BITS), both & _BELOW
 
-    def next_spans(self, k: np.ndarray, there: np.ndarray, hit: np.ndarray, vain: np.ndarray, gone: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and size of each lane's order-1 outcome: the span k if there is one, else what the known ids leave;
-        all for lanes that order 2 foresaw."""
-        known = self.known[self.c1]
-        both = self.both[k]
-        start, size = np.where(there, both >> _u(NEXT_BITS), known), np.where(there, both & _BELOW, _NEXT - known)
+    def next_spans(self, outcome: np.ndarray, hit: np.ndarray, vain: np.ndarray, gone: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of each lane's order-1 outcome; all for lanes that order 2 foresaw."""
+        start, size = (x.view(_u) for x in _span(outcome))
         start[hit], size[hit] = 0, _NEXT
         start[vain] -= width * (start[vain] > gone)
         return start, size
@@ -156,13 +205,14 @@ class Model:
         level = self.level[self.sure]
         self.right[0] += np.bincount(level[hit], minlength=CONFIDENCE)
         self.right[1] += np.bincount(level, minlength=CONFIDENCE)
-        lower = np.where(self.level > 0, self.cell - ((self.level + 1) >> 1), s.astype(np.int32) << 3)
-        self.second[self.slot] = np.where(s == self.guess, self.cell + (self.level < CONFIDENCE - 1), lower)
+        own = s.astype(np.int32)
+        lower = np.where(self.level > 0, self.cell - ((self.level + 1) >> 1), own << 3)
+        self.second[self.slot] = np.where(own == self.guess, np.minimum(self.cell + 1, self.cell | CONFIDENCE - 1), lower)
         if self.counted and self.steps % WATCHED == 0:
             self.fresh[0] += np.bincount(self.kind[self.c1[missed]] + 1, minlength=KINDS + 1)[1:]
             self.fresh[1] += np.bincount(self.kind[self.c1] + 1, minlength=KINDS + 1)[1:] - np.bincount(self.kind[self.c1[self.sure[hit]]] + 1, minlength=KINDS + 1)[1:]
         np.add.at(self.seen, s[missed], 1)
-        self.c1 = s
+        self.c1, self.near = s, own.view(np.uint32)
         self.steps += 1
         if self.steps % RENEW == 0:
             self.renew()
@@ -203,7 +253,10 @@ class Writer:
             width <<= _u(16)
             low[open_], span[open_] = own << _u(16), width
             open_ = open_[width <= _LEAST]
-        self.low[at], self.range[at] = low, span
+        if isinstance(at, slice):
+            self.low, self.range = low, span
+        else:
+            self.low[at], self.range[at] = low, span
 
     def finish(self) -> tuple[np.ndarray, np.ndarray]:
         """Number of words of each lane, and the words lane by lane."""
@@ -290,7 +343,8 @@ def compress(ids: np.ndarray, vocabulary: int) -> bytes:
         if model.counted:
             k, there = next(ahead)
             gone, width = model.without(vain)
-            out.put(every, *model.next_spans(k, there, got, vain, gone, width), out.spans(NEXT_BITS, vain, width))
+            outcome = model.outcome[np.where(there, k + model.c1, model.rest[model.c1])]
+            out.put(every, *model.next_spans(outcome, got, vain, gone, width), out.spans(NEXT_BITS, vain, width))
             there[got] = True
         else:
             there = np.zeros(lanes, bool)
@@ -310,10 +364,11 @@ def decompress(body: bytes, n: int, vocabulary: int) -> np.ndarray:
     counts = np.frombuffer(body, "<u4", lanes).astype(np.int64)
     steps = -(-n // lanes)
     model, read = Model(vocabulary, lanes), Reader(counts, np.frombuffer(body, "<u2", -1, 4 * lanes))
-    grid, every = np.zeros((steps, lanes), np.int64), slice(None)
+    grid, every = np.zeros((steps, lanes + 8), np.int64)[:, :lanes], slice(None)  # rows apart in the cache
     for step in range(steps):
         if model.due():
             model.count(grid[:step])
+            model.guide()
         model.predict()
         sure, s = model.sure, grid[step]
         hit = read.look(sure, UNIT_BITS, (1 << UNIT_BITS) - 1).view(np.int64) < model.bound[model.level[sure]]
@@ -324,10 +379,10 @@ def decompress(body: bytes, n: int, vocabulary: int) -> np.ndarray:
             v = read.look(every, read.spans(NEXT_BITS, vain, width), (1 << NEXT_BITS) - 1)
             v[vain] = np.minimum(v[vain], _NEXT - _u(1) - width)
             v[vain] += width * (v[vain] >= gone)
-            there = v < model.known[model.c1]
-            k = _find(model.span, model.c1 << NEXT_BITS | v.view(np.int64))
-            read.take(every, *model.next_spans(k, there, got, vain, gone, width))
-            np.copyto(s, model.keys[k] & ((1 << NEXT_BITS) - 1), where=there)
+            outcome = model.place(v.view(np.int64))
+            read.take(every, *model.next_spans(outcome, got, vain, gone, width))
+            np.right_shift(outcome, 2 * NEXT_BITS + 1, out=s)
+            there = s >= 0
             there[got] = True
         else:
             there = np.zeros(lanes, bool)
@@ -338,7 +393,7 @@ def decompress(body: bytes, n: int, vocabulary: int) -> np.ndarray:
         read.take(missed, model.low[own], model.freq[own])
         s[missed] = own
         model.update(s, hit, missed)
-    return np.ascontiguousarray(grid.T).reshape(-1)[:n].astype("<u4")
+    return grid.T.astype("<u4", order="C").reshape(-1)[:n]
 
 
 def write_block(lengths: np.ndarray, ids: np.ndarray, vocabulary: int) -> bytes:
@@ -390,10 +445,10 @@ def write_ids(docs: DataFrame, path: str | None = None, text: str = "text", id:
         type_ = None
         for b in batches:
             type_ = b.schema.field(0).type
-            for name, string in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for name, string, run in zip(b.column(0).to_pylist(), b.column(1), bpe.runs(b.column(1)), strict=True):
                 string = string.as_py()
                 names.append(name)
-                ids.append(np.concatenate([encode(string), tail]) if string else tail)
+                ids.append(np.concatenate([encode(string, run), tail]) if string else tail)
                 gathered += len(ids[-1])
                 if gathered >= BLOCK_IDS:
                     yield block()
