@@ -29,7 +29,7 @@ from wavesift.llm.shared import documents, prepared, settle
 
 TOKENIZER, END = "byte_bpe_50k.json", 0
 MAGIC, VERSION = b"CMRC", 3
-#: Ids after which a block ends with its document, lanes of a full block, and ids that a lane has at least.
+#: Ids after which a block ends with its document (a task's last block has up to half as many more), lanes of a full block, and ids that a lane has at least.
 BLOCK_IDS, LANES, LANE_IDS = 1 << 21, 8_192, 256
 #: Bits of the order-2 table, of a probability of order 2, of order 1 and of order 0; steps between the renewals of the
 #: latter's frequencies.
@@ -91,8 +91,11 @@ class Model:
         """Order-0 frequencies, at least 1 each, that sum to at most 2 ** TOTAL_BITS."""
         free = (1 << TOTAL_BITS) - self.ids
         total = int(self.seen.sum())
-        freq = 1 + (self.seen * free // total if total else np.zeros(self.ids, np.int64))
-        self.cum = np.concatenate([[0], freq.cumsum()])
+        freq = self.seen * free
+        freq //= max(total, 1)
+        freq += 1
+        self.cum = np.zeros(self.ids + 1, np.int64)
+        freq.cumsum(out=self.cum[1:])
         self.low, self.freq = self.cum.view(_u), freq.view(_u)
 
     def count(self, grid: np.ndarray) -> None:
@@ -111,7 +114,11 @@ class Model:
         order = np.argsort(keys, kind="stable")
         keys, n = keys[order], n[order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        self.keys, self.times = keys[first], np.add.reduceat(n, first)
+        self.counts(keys[first], np.add.reduceat(n, first))
+
+    def counts(self, keys: np.ndarray, times: np.ndarray) -> None:
+        """Spans from the pairs so far, in order, and how often each was there."""
+        self.keys, self.times = keys, times
         n = self.times
         head = self.keys >> NEXT_BITS
         at = np.flatnonzero(np.concatenate([[True], head[1:] != head[:-1]]))
@@ -177,7 +184,7 @@ class Model:
         self.guess, self.level = self.cell >> 3, self.cell & (CONFIDENCE - 1)
         self.sure = np.flatnonzero(self.level >= SURE)
         unit = 1 << UNIT_BITS
-        self.bound = np.clip((self.right[0] / self.right[1] * unit).astype(np.int64), 1, unit - 1)
+        self.bound = np.minimum(np.maximum((self.right[0] / self.right[1] * unit).astype(np.int64), 1), unit - 1)
 
     def flags(self, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and size, out of 2 ** UNIT_BITS, of what the sure lanes' predictions turn out to be."""
@@ -279,12 +286,12 @@ def _settled(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 class Reader:
     def __init__(self, counts: np.ndarray, words: np.ndarray):
-        self.words = np.concatenate([words.astype(_u), np.zeros(4, _u)])
+        self.words = np.concatenate([words, np.zeros(4, "<u2")])
         self.at = np.concatenate([[0], counts.cumsum()[:-1]])
         self.low, self.range = np.zeros(len(counts), _u), np.full(len(counts), 0xFFFFFFFFFFFFFFFF, _u)
         self.code = np.zeros(len(counts), _u)
         for n in range(4):
-            self.code = (self.code << _u(16)) | self.words[self.at + n]
+            self.code = (self.code << _u(16)) | self.words[self.at + n].astype(_u)
         self.at += 4
 
     spans = Writer.spans
@@ -296,29 +303,54 @@ class Reader:
 
     def take(self, at: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
         low = self.low[at] + self.span * start.astype(_u, copy=False)
-        span, code, place = self.span * size.astype(_u, copy=False), self.code[at], self.at[at]
+        span, code, place = self.span * size.astype(_u, copy=False), self.code[at], self.at[at]  # of all lanes, themselves
         open_ = np.flatnonzero(span <= _LEAST)
         while len(open_):
             own, width = _settled(low[open_], span[open_])
-            code[open_] = (code[open_] << _u(16)) | self.words[np.minimum(place[open_], len(self.words) - 1)]
-            place[open_] += 1
+            at_ = place[open_]
+            code[open_] = (code[open_] << _u(16)) | self.words.take(at_, mode="clip").astype(_u)
+            place[open_] = at_ + 1
             width <<= _u(16)
             low[open_], span[open_] = own << _u(16), width
             open_ = open_[width <= _LEAST]
-        self.low[at], self.range[at], self.code[at], self.at[at] = low, span, code, place
+        if isinstance(at, slice):
+            self.low, self.range = low, span
+        else:
+            self.low[at], self.range[at], self.code[at], self.at[at] = low, span, code, place
 
 
 def _lanes(n: int) -> int:
     return max(1, min(LANES, n // LANE_IDS))
 
 
-def _ahead(model: Model, grid: np.ndarray, step: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each step from this one to the next count, the place of each lane's pair of ids among those counted, and
-    whether it is there."""
-    end = min(len(grid), 2 * step)
-    wanted = grid[step - 1 : end - 1] << NEXT_BITS | grid[step:end]
-    k = _find(model.keys, wanted.ravel()).reshape(wanted.shape)
-    yield from zip(k, model.keys[k] == wanted, strict=True)
+class Pairs:
+    """All pairs of an id and the next in a block that is known whole, found by one sort."""
+
+    def __init__(self, grid: np.ndarray):
+        lanes = grid.shape[1]
+        pairs = grid.copy()
+        pairs[1:] |= grid[:-1] << NEXT_BITS
+        bits = pairs.size.bit_length()
+        order = np.sort((pairs.ravel() << bits) | np.arange(pairs.size))
+        pairs = order >> bits
+        first = np.flatnonzero(pairs[1:] != pairs[:-1]) + 1
+        first = np.concatenate([[0], first])
+        self.keys = pairs[first]
+        self.which = np.empty(len(order), np.int32)  # of each place
+        self.which[order & ((1 << bits) - 1)] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(first, append=len(order)))
+        self.which = self.which.reshape(-1, lanes)
+        self.times, self.counted = np.zeros(len(self.keys), np.int64), 0
+
+    def count(self, model: Model, step: int) -> None:
+        """The model's spans anew, from the steps before this one; then outcome has what each pair is among them."""
+        self.times += np.bincount(self.which[self.counted : step].ravel(), minlength=len(self.keys))
+        self.counted = step
+        there = np.flatnonzero(self.times)
+        model.counts(self.keys[there], self.times[there])
+        head = self.keys >> NEXT_BITS
+        k = model.rest[head]
+        k[there] = np.arange(len(there)) + head[there]
+        self.outcome = model.outcome[k]
 
 
 def compress(ids: np.ndarray, vocabulary: int) -> bytes:
@@ -327,23 +359,24 @@ def compress(ids: np.ndarray, vocabulary: int) -> bytes:
     if not n:
         return b""
     steps = -(-n // lanes)
-    grid = np.zeros(lanes * steps, np.int64)
+    grid = np.zeros(lanes * steps, "<u4")
     grid[:n] = ids
-    grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)  # a row for each step
-    model, out, every = Model(vocabulary, lanes), Writer(lanes), slice(None)
+    grid = grid.reshape(lanes, steps).T.astype(np.int64, order="C")  # a row for each step
+    model, out, every, pairs = Model(vocabulary, lanes), Writer(lanes), slice(None), Pairs(grid)
     for step, s in enumerate(grid):
         if model.due():
-            model.count(grid[:step])
-            ahead = _ahead(model, grid, step)  # where the ids up to the next count lie among those counted
+            pairs.count(model, step)
         model.predict()
         sure = model.sure
         hit = s[sure] == model.guess[sure]
         out.put(sure, *model.flags(hit), UNIT_BITS)
         got, vain = sure[hit], sure[~hit]
         if model.counted:
-            k, there = next(ahead)
+            if step % 8 == 0:
+                some = pairs.outcome[pairs.which[step : step + 8]]  # of eight steps, while the table is in the cache
+            outcome = some[step % 8]
+            there = outcome >= 0
             gone, width = model.without(vain)
-            outcome = model.outcome[np.where(there, k + model.c1, model.rest[model.c1])]
             out.put(every, *model.next_spans(outcome, got, vain, gone, width), out.spans(NEXT_BITS, vain, width))
             there[got] = True
         else:
@@ -436,10 +469,10 @@ def write_ids(docs: DataFrame, path: str | None = None, text: str = "text", id:
         vocabulary = encode.bpe.n_vocab
         shard, number, names, ids, gathered = TaskContext.get().partitionId(), 0, [], [], 0
 
-        def block() -> pa.RecordBatch:
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            whole = np.concatenate(ids)
-            own = pa.array([names], pa.list_(type_))
+        def block(n: int | None = None) -> pa.RecordBatch:
+            lengths = np.fromiter(map(len, ids[:n]), np.int64)
+            whole = np.concatenate(ids[:n])
+            own = pa.array([names[:n]], pa.list_(type_))
             return pa.record_batch([pa.array([shard], pa.int32()), pa.array([number], pa.int32()), own, pa.array([len(whole)], pa.int64()), pa.array([write_block(lengths, whole, vocabulary)], pa.binary())], ["shard", "block", "doc_ids", "n_ids", "payload"])
 
         type_ = None
@@ -450,9 +483,11 @@ def write_ids(docs: DataFrame, path: str | None = None, text: str = "text", id:
                 names.append(name)
                 ids.append(np.concatenate([encode(string, run), tail]) if string else tail)
                 gathered += len(ids[-1])
-                if gathered >= BLOCK_IDS:
-                    yield block()
-                    number, names, ids, gathered = number + 1, [], [], 0
+                if 2 * gathered >= 3 * BLOCK_IDS:  # so that no small block is left at the end, as each block learns anew
+                    n = 1 + int(np.searchsorted(np.fromiter(map(len, ids), np.int64).cumsum(), BLOCK_IDS))
+                    yield block(n)
+                    number, names, ids = number + 1, names[n:], ids[n:]
+                    gathered = sum(map(len, ids))
         if ids:
             yield block()
 
