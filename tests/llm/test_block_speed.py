@@ -50,9 +50,9 @@ def test_places_are_those_of_a_search():
     for _ in range(20):
         model.c1, v = r.zipf(1.3, 500) % 3_000, r.integers(0, 1 << blocks.NEXT_BITS, 500)
         v[:50], v[50:100] = 0, (1 << blocks.NEXT_BITS) - 1
-        start, size = blocks._span(model.place(v))
+        start, size = model.place(v)[1:]
         assert (start <= v).all() and (v < start + size).all()
-        for x, value, got in zip(model.c1, v, model.place(v) >> 2 * blocks.NEXT_BITS + 1, strict=True):
+        for x, value, got in zip(model.c1, v, model.place(v)[0] >> 2 * blocks.NEXT_BITS + 1, strict=True):
             own = model.keys >> blocks.NEXT_BITS == x
             k = np.searchsorted(model.both[own] >> blocks._u(blocks.NEXT_BITS), np.uint64(value), "right") - 1
             assert got == (model.keys[own][k] & (1 << blocks.NEXT_BITS) - 1 if value < model.known[x] else -1)
@@ -70,3 +70,31 @@ def test_format_is_as_it_was():
     body = blocks.compress(ids, VOCABULARY)
     assert (len(body), zlib.crc32(body)) == (209_690, 3_285_289_937)
     assert (blocks.decompress(body, len(ids), VOCABULARY) == ids).all()
+
+
+def test_blocks_of_any_length():
+    r = np.random.default_rng(8)
+    for n in (0, 1, 2, 255, 256, 511, 512, 2_049, 70_000):
+        ids = (r.zipf(1.3, n) % VOCABULARY).astype("<u4")
+        lengths, back = blocks.read_block(blocks.write_block(np.array([n, 0]), ids, VOCABULARY))
+        assert lengths.tolist() == [n, 0] and back.dtype == ids.dtype and (back == ids).all()
+
+
+def test_no_small_block_is_left(spark, monkeypatch):
+    """Short documents: a task's last block holds about half the ids that end one, or more."""
+    monkeypatch.setattr(blocks, "BLOCK_IDS", 1_000)
+    r = np.random.default_rng(9)
+    words = [5_000, *r.integers(0, 30, 1_000).tolist()]
+    df = spark.createDataFrame([(i, "word " * n) for i, n in enumerate(words)], "doc_id long, text string").coalesce(1)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        written = blocks.write_ids(df)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    rows = sorted(written.collect(), key=lambda b: (b.shard, b.block))
+    assert len(rows) > 9 and [i for b in rows for i in b.doc_ids] == list(range(len(words)))
+    assert all(b.n_ids >= 1_000 for b in rows[:-1]) and rows[-1].n_ids >= 470
+    back = blocks.read_ids(written).orderBy("doc_id").collect()
+    encode = bpe.encoder(PATH)
+    assert [b.ids for b in back] == [[*(encode("word " * n).tolist() if n else []), 0] for n in words]

@@ -29,7 +29,8 @@ from wavesift.llm.shared import documents, prepared, settle
 
 TOKENIZER, END = "byte_bpe_50k.json", 0
 MAGIC, VERSION = b"CMRC", 3
-#: Ids after which a block ends with its document (a task's last block has up to half as many more), lanes of a full block, and ids that a lane has at least.
+#: Ids after which a block ends with its document, if half as many more are there; lanes of a full block, and ids that a
+#: lane has at least.
 BLOCK_IDS, LANES, LANE_IDS = 1 << 21, 8_192, 256
 #: Bits of the order-2 table, of a probability of order 2, of order 1 and of order 0; steps between the renewals of the
 #: latter's frequencies.
@@ -102,10 +103,11 @@ class Model:
         """Order-1 spans from the ids so far (a row for each step): for each pair of ids its start and size within
         2 ** NEXT_BITS, and for each id where the spans of what follows it end. Pairs since the last count are added
         to those it had."""
-        new = grid[self.counted :]
-        before = np.concatenate([grid[self.counted - 1 : self.counted] if self.counted else np.zeros((1, grid.shape[1]), np.int64), new[:-1]])
         narrow = self.ids <= 1 << 16
-        pairs = np.sort((before.astype(np.uint32) << np.uint32(16) | new.astype(np.uint32)).ravel() if narrow else (before << NEXT_BITS | new).ravel())
+        pairs = grid[self.counted :].astype(np.uint32 if narrow else np.int64)
+        pairs[1 if not self.counted else 0 :] |= grid[max(0, self.counted - 1) : -1].astype(pairs.dtype) << pairs.dtype.type(16 if narrow else NEXT_BITS)
+        pairs = pairs.ravel()
+        pairs.sort()
         first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
         keys, n = pairs[first].astype(np.int64), np.diff(np.concatenate([first, [len(pairs)]]))
         if narrow:
@@ -158,23 +160,25 @@ class Model:
         begins = ahead[which] + (first + (1 << shift) - 1 >> shift)
         self.held = np.repeat(np.arange(len(which), dtype=np.int32), np.diff(begins, append=cells[-1]))
 
-    def place(self, v: np.ndarray) -> np.ndarray:
-        """The packed outcome that each lane's value lies in: few places on from its cell's, or looked up."""
+    def place(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The packed outcome that each lane's value lies in, few places on from its cell's, or looked up; its start and size."""
         cell = self.cells[self.c1]
         k = self.held[(cell >> 5) + (v >> (cell & 31))]
         found = self.outcome[k]
         start, size = _span(found)
         beyond = np.flatnonzero(start + size <= v)
-        k, low = k[beyond], v[beyond]
-        for _ in range(4):
-            k += 1
-            own = self.outcome[k]
-            found[beyond] = own
-            start, size = _span(own)
-            more = np.flatnonzero(start + size <= low)
-            beyond, k, low = beyond[more], k[more], low[more]
-        found[beyond] = self.outcome[np.searchsorted(self.begin, self.c1[beyond] << NEXT_BITS | low, "right") - 1]
-        return found
+        if len(beyond):
+            at, k, low = beyond, k[beyond], v[beyond]
+            for _ in range(4):
+                k += 1
+                own = self.outcome[k]
+                found[at] = own
+                first, n = _span(own)
+                more = np.flatnonzero(first + n <= low)
+                at, k, low = at[more], k[more], low[more]
+            found[at] = self.outcome[np.searchsorted(self.begin, self.c1[at] << NEXT_BITS | low, "right") - 1]
+            start[beyond], size[beyond] = _span(found[beyond])
+        return found, start, size
 
     def predict(self) -> None:
         """The order-2 cells, which lanes are sure of them, and the bounds of such a prediction by confidence."""
@@ -200,9 +204,9 @@ class Model:
         both = np.where(there, self.both[k], _NEXT << _u(NEXT_BITS))
         return both >> _u(NEXT_BITS), both & _BELOW
 
-    def next_spans(self, outcome: np.ndarray, hit: np.ndarray, vain: np.ndarray, gone: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and size of each lane's order-1 outcome; all for lanes that order 2 foresaw."""
-        start, size = (x.view(_u) for x in _span(outcome))
+    def next_spans(self, start: np.ndarray, size: np.ndarray, hit: np.ndarray, vain: np.ndarray, gone: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of each lane's order-1 outcome, in place; all for lanes that order 2 foresaw."""
+        start, size = start.view(_u), size.view(_u)
         start[hit], size[hit] = 0, _NEXT
         start[vain] -= width * (start[vain] > gone)
         return start, size
@@ -303,18 +307,18 @@ class Reader:
 
     def take(self, at: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
         low = self.low[at] + self.span * start.astype(_u, copy=False)
-        span, code, place = self.span * size.astype(_u, copy=False), self.code[at], self.at[at]  # of all lanes, themselves
+        span, code, place = self.span * size.astype(_u, copy=False), self.code[at], self.at[at]
         open_ = np.flatnonzero(span <= _LEAST)
         while len(open_):
             own, width = _settled(low[open_], span[open_])
-            at_ = place[open_]
-            code[open_] = (code[open_] << _u(16)) | self.words.take(at_, mode="clip").astype(_u)
-            place[open_] = at_ + 1
+            own_place = place[open_]
+            code[open_] = (code[open_] << _u(16)) | self.words.take(own_place, mode="clip").astype(_u)
+            place[open_] = own_place + 1
             width <<= _u(16)
             low[open_], span[open_] = own << _u(16), width
             open_ = open_[width <= _LEAST]
         if isinstance(at, slice):
-            self.low, self.range = low, span
+            self.low, self.range = low, span  # code and place are views
         else:
             self.low[at], self.range[at], self.code[at], self.at[at] = low, span, code, place
 
@@ -327,18 +331,24 @@ class Pairs:
     """All pairs of an id and the next in a block that is known whole, found by one sort."""
 
     def __init__(self, grid: np.ndarray):
-        lanes = grid.shape[1]
-        pairs = grid.copy()
-        pairs[1:] |= grid[:-1] << NEXT_BITS
-        bits = pairs.size.bit_length()
-        order = np.sort((pairs.ravel() << bits) | np.arange(pairs.size))
-        pairs = order >> bits
-        first = np.flatnonzero(pairs[1:] != pairs[:-1]) + 1
+        steps, lanes = grid.shape
+        bits = grid.size.bit_length()
+        order = np.zeros(grid.shape, np.int64)
+        order[1:] = grid[:-1]
+        order <<= NEXT_BITS
+        order |= grid
+        order <<= bits
+        order += np.arange(lanes)
+        order += np.arange(0, grid.size, lanes)[:, None]
+        order = order.ravel()
+        order.sort()
+        first = np.flatnonzero(order[1:] ^ order[:-1] >= 1 << bits) + 1
         first = np.concatenate([[0], first])
-        self.keys = pairs[first]
+        self.keys = order[first] >> bits
+        order &= (1 << bits) - 1
         self.which = np.empty(len(order), np.int32)  # of each place
-        self.which[order & ((1 << bits) - 1)] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(first, append=len(order)))
-        self.which = self.which.reshape(-1, lanes)
+        self.which[order] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(first, append=len(order)))
+        self.which = self.which.reshape(steps, lanes)
         self.times, self.counted = np.zeros(len(self.keys), np.int64), 0
 
     def count(self, model: Model, step: int) -> None:
@@ -361,9 +371,10 @@ def compress(ids: np.ndarray, vocabulary: int) -> bytes:
     steps = -(-n // lanes)
     grid = np.zeros(lanes * steps, "<u4")
     grid[:n] = ids
-    grid = grid.reshape(lanes, steps).T.astype(np.int64, order="C")  # a row for each step
+    grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)  # a row for each step
     model, out, every, pairs = Model(vocabulary, lanes), Writer(lanes), slice(None), Pairs(grid)
     for step, s in enumerate(grid):
+        s = s.astype(np.int64)
         if model.due():
             pairs.count(model, step)
         model.predict()
@@ -377,7 +388,7 @@ def compress(ids: np.ndarray, vocabulary: int) -> bytes:
             outcome = some[step % 8]
             there = outcome >= 0
             gone, width = model.without(vain)
-            out.put(every, *model.next_spans(outcome, got, vain, gone, width), out.spans(NEXT_BITS, vain, width))
+            out.put(every, *model.next_spans(*_span(outcome), got, vain, gone, width), out.spans(NEXT_BITS, vain, width))
             there[got] = True
         else:
             there = np.zeros(lanes, bool)
@@ -397,13 +408,13 @@ def decompress(body: bytes, n: int, vocabulary: int) -> np.ndarray:
     counts = np.frombuffer(body, "<u4", lanes).astype(np.int64)
     steps = -(-n // lanes)
     model, read = Model(vocabulary, lanes), Reader(counts, np.frombuffer(body, "<u2", -1, 4 * lanes))
-    grid, every = np.zeros((steps, lanes + 8), np.int64)[:, :lanes], slice(None)  # rows apart in the cache
+    grid, every = np.empty((steps, lanes + 16), "<u4")[:, :lanes], slice(None)  # rows apart in the cache
     for step in range(steps):
         if model.due():
             model.count(grid[:step])
             model.guide()
         model.predict()
-        sure, s = model.sure, grid[step]
+        sure = model.sure
         hit = read.look(sure, UNIT_BITS, (1 << UNIT_BITS) - 1).view(np.int64) < model.bound[model.level[sure]]
         read.take(sure, *model.flags(hit))
         got, vain = sure[hit], sure[~hit]
@@ -412,27 +423,28 @@ def decompress(body: bytes, n: int, vocabulary: int) -> np.ndarray:
             v = read.look(every, read.spans(NEXT_BITS, vain, width), (1 << NEXT_BITS) - 1)
             v[vain] = np.minimum(v[vain], _NEXT - _u(1) - width)
             v[vain] += width * (v[vain] >= gone)
-            outcome = model.place(v.view(np.int64))
-            read.take(every, *model.next_spans(outcome, got, vain, gone, width))
-            np.right_shift(outcome, 2 * NEXT_BITS + 1, out=s)
+            outcome, start, size = model.place(v.view(np.int64))
+            read.take(every, *model.next_spans(start, size, got, vain, gone, width))
+            s = outcome >> 2 * NEXT_BITS + 1
             there = s >= 0
             there[got] = True
         else:
-            there = np.zeros(lanes, bool)
+            s, there = np.zeros(lanes, np.int64), np.zeros(lanes, bool)
             there[got] = True
         s[got] = model.guess[got]
         missed = np.flatnonzero(~there)
         own = model.ids_at(read.look(missed, TOTAL_BITS, (1 << TOTAL_BITS) - 1).view(np.int64))
         read.take(missed, model.low[own], model.freq[own])
         s[missed] = own
+        grid[step] = s
         model.update(s, hit, missed)
-    return grid.T.astype("<u4", order="C").reshape(-1)[:n]
+    return np.ascontiguousarray(grid.T).reshape(-1)[:n]
 
 
 def write_block(lengths: np.ndarray, ids: np.ndarray, vocabulary: int) -> bytes:
     """Magic, version, vocabulary, documents, ids, checksum of the ids and of the rest; lengths; body."""
     held = lengths.astype("<u4").tobytes() + compress(ids, vocabulary)
-    head = np.array([VERSION, vocabulary, len(lengths), len(ids), zlib.crc32(ids.astype("<u4").data), zlib.crc32(held)], "<u4")
+    head = np.array([VERSION, vocabulary, len(lengths), len(ids), zlib.crc32(ids.astype("<u4", copy=False).data), zlib.crc32(held)], "<u4")
     return MAGIC + head.tobytes() + held
 
 
